@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import sharding
+from . import bpe, sharding
 from .storage import prepare, table
 
 
@@ -16,8 +15,22 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, "doc_id", "text", n_shards=24)
 
 
+def tokenizer_spec(name: str = "byte_bpe_50k.json") -> str:
+    """Text of a public tokenizer file, read where the driver runs."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return bpe.round_trip(docs, "doc_id", "text", tokenizer_spec())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": op6_jump_sharding,
+    "op7_backtracking_bpe": op7_backtracking_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
