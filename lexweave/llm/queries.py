@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, sharding
-from .storage import prepare, table
+from . import bpe, langid, sharding
+from .storage import id_remainder, prepare, table
 
 
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +29,16 @@ def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, "doc_id", "text", tokenizer_spec())
 
 
+def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    model = langid.learn(docs, "text", "lang", id_remainder(F.col("doc_id"), 5) != 0)
+    found = langid.identify(docs, "doc_id", "text", model)
+    return found.withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": op6_jump_sharding,
+    "op10_compression_langid": op10_compression_langid,
     "op7_backtracking_bpe": op7_backtracking_bpe,
 }
 
