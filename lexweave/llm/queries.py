@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, sharding
+from . import bpe, langid, ratio, sharding
 from .storage import id_remainder, prepare, table
 
 
@@ -29,6 +29,16 @@ def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, "doc_id", "text", tokenizer_spec())
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ratio.resample(docs, "doc_id", "text", ratio.trusted_labels(labels))[1]
+
+
+def op5_ratio_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ratio.quality_rules(docs, "doc_id", "text", ratio.trusted_labels(labels))
+
+
 def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.learn(docs, "text", "lang", id_remainder(F.col("doc_id"), 5) != 0)
@@ -38,6 +48,8 @@ def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": op6_jump_sharding,
+    "op2_importance_resampling": op2_importance_resampling,
+    "op5_ratio_quality_rules": op5_ratio_quality_rules,
     "op10_compression_langid": op10_compression_langid,
     "op7_backtracking_bpe": op7_backtracking_bpe,
 }
