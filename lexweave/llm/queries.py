@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ratio, sharding
+from . import bpe, html, langid, licenses, ratio, sharding
 from .storage import id_remainder, prepare, table
 
 
@@ -34,11 +34,20 @@ def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratio.resample(docs, "doc_id", "text", ratio.trusted_labels(labels))[1]
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return licenses.summary(licenses.scan(docs, "doc_id", "text"), "doc_id")
+
+
 def op5_ratio_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return ratio.quality_rules(docs, "doc_id", "text", ratio.trusted_labels(labels))
 
 
+def op8_text_to_tag_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(prepare(spark), sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.learn(docs, "text", "lang", id_remainder(F.col("doc_id"), 5) != 0)
@@ -49,7 +58,9 @@ def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": op6_jump_sharding,
     "op2_importance_resampling": op2_importance_resampling,
+    "op3_license_scan": op3_license_scan,
     "op5_ratio_quality_rules": op5_ratio_quality_rules,
+    "op8_text_to_tag_extraction": op8_text_to_tag_extraction,
     "op10_compression_langid": op10_compression_langid,
     "op7_backtracking_bpe": op7_backtracking_bpe,
 }
