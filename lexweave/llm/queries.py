@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, licenses, ratio, sharding
+from . import bpe, html, langid, licenses, ratio, sharding, winnow
 from .storage import id_remainder, prepare, table
 
 
@@ -48,6 +48,11 @@ def op8_text_to_tag_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(prepare(spark), sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return winnow.decontaminate(docs, "doc_id", "text", items, "item_id", "text")
+
+
 def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = langid.learn(docs, "text", "lang", id_remainder(F.col("doc_id"), 5) != 0)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op5_ratio_quality_rules": op5_ratio_quality_rules,
     "op8_text_to_tag_extraction": op8_text_to_tag_extraction,
+    "op9_winnowing_decontamination": op9_winnowing_decontamination,
     "op10_compression_langid": op10_compression_langid,
     "op7_backtracking_bpe": op7_backtracking_bpe,
 }
