@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, langid, licenses, ratio, sharding, winnow
+from . import bpe, html, jaccard, langid, licenses, ratio, sharding, winnow
 from .storage import id_remainder, prepare, table
 
 
@@ -29,6 +29,11 @@ def op7_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, "doc_id", "text", tokenizer_spec())
 
 
+def op1_adaptive_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return jaccard.near_duplicates(docs, "doc_id", "text", k=3, percent=90)
+
+
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return ratio.resample(docs, "doc_id", "text", ratio.trusted_labels(labels))[1]
@@ -62,6 +67,7 @@ def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": op6_jump_sharding,
+    "op1_adaptive_prefix_jaccard": op1_adaptive_prefix_jaccard,
     "op2_importance_resampling": op2_importance_resampling,
     "op3_license_scan": op3_license_scan,
     "op5_ratio_quality_rules": op5_ratio_quality_rules,
