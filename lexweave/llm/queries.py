@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, langid, licenses, ratio, sharding, winnow
+from . import bpe, html, jaccard, langid, licenses, lm, ratio, sharding, winnow
 from .storage import id_remainder, prepare, table
 
 
@@ -44,6 +44,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(docs, "doc_id", "text"), "doc_id")
 
 
+def op4_attention_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(prepare(spark), sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    scored = lm.score(docs, "doc_id", "text", ~held_out, tokenizer_spec("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 def op5_ratio_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return ratio.quality_rules(docs, "doc_id", "text", ratio.trusted_labels(labels))
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_adaptive_prefix_jaccard": op1_adaptive_prefix_jaccard,
     "op2_importance_resampling": op2_importance_resampling,
     "op3_license_scan": op3_license_scan,
+    "op4_attention_scoring": op4_attention_scoring,
     "op5_ratio_quality_rules": op5_ratio_quality_rules,
     "op8_text_to_tag_extraction": op8_text_to_tag_extraction,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
