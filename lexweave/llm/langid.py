@@ -54,9 +54,13 @@ def learn(
     """
     rows = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(train & F.col(lang).isNotNull())
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Only rows with small hashes go on, a few times as many as are wanted of each language.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * rows_per_language / n))]) if counts else F.create_map()
+    wanted = F.pmod("_hash", F.lit(1 << 30)) < F.try_element_at(share, F.col("_lang")) * float(1 << 30) if counts else F.lit(False)
     usable = rows.where((F.octet_length("_text") > 0) & (F.octet_length("_text") <= max_bytes)).withColumn("_hash", F.xxhash64("_text"))
-    first = Window.partitionBy("_lang").orderBy("_hash", "_text")
-    sample = usable.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows_per_language)
+    few = usable.where(wanted).dropDuplicates(["_lang", "_hash"])
+    first = Window.partitionBy("_lang").orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash")
+    sample = few.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows_per_language)
     chosen: dict[str, dict[str, None]] = {}
     for r in sample.orderBy("_lang", "_place").collect():
         chosen.setdefault(r["_lang"], {})[r["_text"]] = None
