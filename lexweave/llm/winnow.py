@@ -1,8 +1,7 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Words become 64-bit hashes.  Every ``K`` consecutive words of a document have a
-hash, and of each ``WINDOW`` consecutive such hashes the smallest is kept as a
-fingerprint, so each run of ``K + WINDOW - 1`` words, which is the length of a
+Words become 64-bit hashes, and every ``K`` consecutive words of a document have
+one; of each ``WINDOW`` consecutive k-grams the smallest is kept as a fingerprint, so each run of ``K + WINDOW - 1`` words, which is the length of a
 benchmark window, holds a kept one wherever it stands.  Benchmark items keep all
 their k-grams.  Fingerprints that meet are extended word by word to both sides;
 an extension that spans a whole window is a hit, and its words are hit.
@@ -30,38 +29,14 @@ DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_hashes(text: Column) -> Column:
-    """Hashes of the words of a text, lower-cased in A-Z; null has none."""
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), DELIMITERS)
-    return F.transform(F.filter(words, lambda w: F.octet_length(w) > 0), lambda w: F.xxhash64(w))
+    """64-bit hashes of the words of a text, lower-cased in A-Z; null has none."""
+    words = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), DELIMITERS), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _kgrams(words: Column, k: int) -> Column:
-    """Hash of each k consecutive words, in order; none if there are fewer."""
-    starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))
-
-
-def _around(words: Column, at: Column, before: int, count: int) -> Column:
-    """``count`` words from ``before`` words ahead of position ``at`` (from 0), with nulls beyond the ends."""
-    return F.transform(F.sequence(at - F.lit(before) + F.lit(1), at - F.lit(before) + F.lit(count)), lambda i: F.when(i >= 1, F.try_element_at(words, F.greatest(i, F.lit(1)))))
-
-
-def _fingerprints(words: Column) -> Column:
-    """Positions (from 0) and hashes that winnowing keeps.
-
-    Without a full window the k-grams of the text are one window.
-    """
-    grams = _kgrams(words, K)
-    n = F.size(grams)
-    tops = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(F.lit(1), n - F.lit(WINDOW - 1)))).otherwise(F.array().cast("array<int>"))
-
-    def pick(h: Column) -> Column:
-        least = F.transform(tops, lambda i: F.array_min(F.slice(h, i, WINDOW)))
-        # The rightmost place of each window's minimum; windows next to each other mostly share it.
-        places = F.zip_with(tops, least, lambda i, m: i + F.least(F.lit(WINDOW), F.size(h) - i + 1) - F.array_position(F.reverse(F.slice(h, i, WINDOW)), m).cast("int"))
-        return F.transform(F.array_distinct(places), lambda p: F.struct((p - 1).alias("at"), F.element_at(h, p).alias("print")))
-
-    return F.element_at(F.transform(F.array(grams), pick), 1)
+def _gram(words: Column, n: Column, at: Column) -> Column:
+    """Hash of the K words from position ``at`` (from 0); null if they are not all there."""
+    return F.when((at >= 0) & (at + F.lit(K) <= n), F.xxhash64(*[F.get(words, at + F.lit(j)) for j in range(K)]))
 
 
 def _small(df: DataFrame, n_rows: int, bytes_per_row: int) -> DataFrame:
@@ -78,35 +53,45 @@ def find_spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: s
     bench = materialize(items.select(F.col(item_key).alias("_item"), word_hashes(F.col(item_text)).alias("_w")).where(F.size("_w") > 0), "benchmark")
     sizes = bench.agg(F.sum(F.when(F.size("_w") >= SPAN, F.size("_w")).otherwise(0)), F.sum(F.when(F.size("_w") < SPAN, 1).otherwise(0))).first()
     n_long, n_short = sizes[0] or 0, sizes[1] or 0
+    w, n, i = F.col("_w"), F.size("_w"), F.col("_i")
+
+    # Every k-gram of the items, with the words that a window can add on either side.
+    slots = 2 * REACH + K
+    grams = bench.where(n >= SPAN).select("_item", "_w", F.explode(F.sequence(F.lit(0), n - F.lit(K))).alias("_i"))
+    index = grams.select("_item", _gram(w, n, i).alias("_key"), F.array(*[F.get(w, i + F.lit(j - REACH)) for j in range(slots)]).alias("_other"))
 
+    # One row per window of k-grams, and one ahead of them (window 0) that stands for the document.  Nothing here is a
+    # higher-order function, so that windows stay inside generated code up to the join and no row is copied for them.
     docs = df.select(F.col(key).alias("_doc"), word_hashes(F.col(text)).alias("_w"))
-    marker = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("print"), F.lit(None).cast("array<long>").alias("ctx"))
-    prints = F.transform(
-        _fingerprints(F.col("_w")),
-        lambda p: F.struct(p["at"].alias("at"), p["print"].alias("print"), _around(F.col("_w"), p["at"], REACH, 2 * REACH + K).alias("ctx")),
-    )
-    rows = docs.select("_doc", F.size("_w").cast("long").alias("_n"), F.explode(F.concat(F.array(marker), prints)).alias("_p")).select("_doc", "_n", "_p.*")
-    long_items = bench.where(F.size("_w") >= SPAN)
-    index = long_items.select("_item", "_w", F.posexplode(_kgrams(F.col("_w"), K)).alias("_q", "_print")).select(
-        "_item", F.col("_print"), _around(F.col("_w"), F.col("_q"), REACH, 2 * REACH + K).alias("_other")
-    )
-    joined = rows.join(_small(index, n_long, 8 * (2 * REACH + K + 4)), F.col("print") == F.col("_print"), "left")
-    same = F.zip_with("ctx", "_other", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    run = lambda part: F.coalesce(F.array_position(part, False) - F.lit(1), F.lit(0))  # noqa: E731  equal words from the front
-    closed = lambda part: F.concat(part, F.array(F.lit(False)))
-    left = run(closed(F.reverse(F.slice(F.col("_same"), 1, REACH))))
-    right = run(closed(F.slice(F.col("_same"), REACH + K + 1, REACH)))
-    whole = F.forall(F.slice(F.col("_same"), REACH + 1, K), lambda x: x)
-    hits = (
-        joined.where(F.col("at").isNull() | F.col("_item").isNotNull())
-        .withColumn("_same", same)
-        .withColumn("_left", F.when(F.col("_item").isNotNull(), left).cast("long"))
-        .withColumn("_right", F.when(F.col("_item").isNotNull(), right).cast("long"))
-        .where(F.col("at").isNull() | (whole & (F.col("_left") + F.col("_right") + F.lit(K) >= SPAN)))
-        .select(
-            F.col("_doc"), F.col("_n"), F.col("_item"), (F.col("at") - F.col("_left")).cast("long").alias("_lo"), (F.col("at") + F.lit(K - 1) + F.col("_right")).cast("long").alias("_hi"),
-        )
+    last = F.when(n < K, 0).otherwise(F.greatest(n - F.lit(SPAN - 1), F.lit(1)))
+    windows = docs.select("_doc", "_w", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    gram = [_gram(w, n, i + F.lit(j - 2)) for j in range(WINDOW + 1)]
+    minima = windows.select("_doc", "_w", "_i", gram[0].alias("_gone"), F.least(*gram[:-1]).alias("_before"), F.least(*gram[1:]).alias("_least"))
+    # A window whose minimum is that of the window ahead adds no fingerprint.
+    fresh = (i == 1) | ((i > 1) & ((F.col("_least") != F.col("_before")) | (F.col("_least") == F.col("_gone"))))
+    prints = minima.select("_doc", "_w", "_i", F.when(fresh, F.col("_least")).alias("_print"))
+    met = prints.join(_small(index, n_long, 8 * slots + 64), F.col("_print") == F.col("_key"), "left").where((i == 0) | F.col("_item").isNotNull())
+    begin = F.greatest(i - F.lit(1 + REACH), F.lit(0))
+    near = F.when(F.col("_item").isNotNull(), F.slice("_w", begin + F.lit(1), 2 * REACH + SPAN))
+    # Few rows are left; they are written before they are extended, which keeps the code above small.
+    candidates = materialize(met.select("_doc", n.cast("long").alias("_n"), "_item", "_other", "_print", "_i", begin.alias("_begin"), near.alias("_w")), "candidates")
+
+    lead = (i - F.lit(1) - F.col("_begin")).cast("int")  # where the window begins in the words kept
+    grams = F.transform(F.sequence(lead + F.lit(1), lead + F.lit(WINDOW)), lambda p: F.xxhash64(F.slice("_w", p, K)))
+    placed = candidates.withColumn("_at", F.when(F.col("_item").isNotNull(), lead + F.array_position(grams, F.col("_print")).cast("int") - F.lit(1)))
+    at = F.col("_at")
+    blank = lambda count: F.array_repeat(F.lit(None).cast("long"), count)
+    ahead = F.greatest(F.lit(REACH) - at, F.lit(0))
+    around = F.slice(F.concat(blank(ahead), F.slice("_w", F.greatest(at - F.lit(REACH), F.lit(0)) + F.lit(1), F.lit(slots)), blank(F.lit(slots))), F.lit(1), F.lit(slots))
+    compared = placed.withColumn("_same", F.when(at.isNotNull(), F.zip_with(around, "_other", lambda a, b: F.coalesce(a == b, F.lit(False)))))
+    run = lambda part: (F.array_position(F.concat(part, F.array(F.lit(False))), False) - F.lit(1)).cast("int")  # noqa: E731  equal words from the front
+    runs = compared.select(
+        "_doc", "_n", "_item", "_begin", "_at", run(F.reverse(F.slice("_same", 1, REACH))).alias("_left"), run(F.slice("_same", REACH + 1, K)).alias("_core"),
+        run(F.slice("_same", REACH + K + 1, REACH)).alias("_right"),
     )
+    hits = runs.where(at.isNull() | ((F.col("_core") == K) & (F.col("_left") + F.col("_right") >= SPAN - K))).select(
+        "_doc", "_n", "_item", (F.col("_begin") + at - F.col("_left")).cast("long").alias("_lo"), (F.col("_begin") + at + F.lit(K - 1) + F.col("_right")).cast("long").alias("_hi")
+    )
     if n_short:
         short = bench.where(F.size("_w") < SPAN).select("_item", F.col("_w").alias("_whole"), F.element_at("_w", 1).alias("_first"))
         places = docs.select("_doc", F.size("_w").cast("long").alias("_n"), "_w", F.posexplode("_w").alias("_at", "_word")).select(
