@@ -73,6 +73,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, written with a number of its own for each row, and that column's name.
+
+    The numbers are written because a later read may deal rows out differently when
+    executors have come or gone.
+    """
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
+def without_rows(df: DataFrame, row: str, dropped: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose numbers are not in ``dropped``, without the number.
+
+    Up to ``broadcast_rows`` numbers go to every worker; more are joined by a shuffle.
+    """
+    few = dropped.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return df.join(F.broadcast(dropped) if few else dropped, row, "left_anti").drop(row)
+
+
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
