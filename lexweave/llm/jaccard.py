@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import NOT_SPACE, hashes, joined, mix, shingle_hashes, texts, word_counts, words
+from .kernels import NOT_SPACE, hashes, joined, mix, released, shingle_hashes, texts, word_counts, words
 from .storage import materialize, prepare
 
 SKETCH = 1 << 19  #: counters of the frequency sketch
 LONGEST_MATCH = 8  #: the largest l
 CHANCE = 0.05  #: partners that a shingle is taken to have when the sketch shows none
 VERIFY = 0.125  #: cost of comparing one shingle, against one prefix entry
-NEAR_PERCENT = 50  #: similarity from which a class keeps its difference to the root
+NEAR = 10  #: per cent below the wanted similarity down to which a class keeps its difference to the root
 FAN_IN = 32
 _BITS = 1 << 24
 
@@ -74,19 +74,19 @@ def _sketch(df: DataFrame, text: str, k: int) -> np.ndarray:
                 total += np.frombuffer(x.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
 
-    parts = df.select(text).mapInArrow(count, "counts binary")
+    parts = df.select(text).mapInArrow(released(count), "counts binary")
     n = parts.rdd.getNumPartitions()
     while n > 4:
         n = ceil(n / FAN_IN)
-        parts = parts.repartition(n).mapInArrow(add, "counts binary")
+        parts = parts.repartition(n).mapInArrow(released(add), "counts binary")
     total = np.zeros(SKETCH, np.int64)
     for r in parts.collect():
         total += np.frombuffer(r["counts"], np.int64)
     return total
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
-    """The match length l of a set and its prefix, rare shingles first."""
+def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[int, int, np.ndarray]:
+    """The match length l of a set, how many of its rarest shingles seem to be its own, and its prefix, rare ones first."""
     n = len(s)
     seen = sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
     rank = (np.minimum(seen, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
@@ -98,11 +98,12 @@ def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tup
     met = partners[slack : slack + most]
     cost = slack + lengths + met * (1 + VERIFY * n / lengths)
     best = int(np.argmin(cost)) + 1
-    return best, s[first[: slack + best]]
+    own = int((seen[first[: slack + 1]] < noise + 2).sum())
+    return best, own, s[first[: slack + best]]
 
 
 def _prefixes(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(id, n, c, l, prefix) of every document."""
+    """(id, n, c, l, own, prefix) of every document."""
     sketch = _sketch(df, text, k)
     noise = float(sketch.sum()) / SKETCH
     share = df.sparkSession.sparkContext.broadcast(sketch)
@@ -112,20 +113,21 @@ def _prefixes(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
         for batch in batches:
             for first, part in texts(batch.column(1)):
                 sets = _sets(part, k)
-                found = [prefix(s, sketch, noise, percent) if len(s) else (0, s) for s in sets]
+                found = [prefix(s, sketch, noise, percent) if len(s) else (0, 0, s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(part)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_class_id(s) for s in sets], pa.int64()),
                         pa.array([x[0] for x in found], pa.int32()),
-                        _lists([x[1] for x in found]),
+                        pa.array([x[1] for x in found], pa.int32()),
+                        _lists([x[2] for x in found]),
                     ],
-                    ["id", "n", "c", "l", "prefix"],
+                    ["id", "n", "c", "l", "own", "prefix"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"id {kind}, n long, c long, l int, prefix array<long>")
+    return df.select(key, text).mapInArrow(released(run), f"id {kind}, n long, c long, l int, own int, prefix array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -166,7 +168,7 @@ def _fetch_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
                         sets.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["c", "shingles"])
 
-    found = df.select(text).mapInArrow(run, "c long, shingles array<long>")
+    found = df.select(text).mapInArrow(released(run), "c long, shingles array<long>")
     return materialize(found.dropDuplicates(["c"]).join(wanted.select("c").distinct(), "c", "left_semi"), "sets")
 
 
@@ -178,16 +180,33 @@ def _linked(shared: Column, n: Column, m: Column, percent: int) -> Column:
 
 
 def _live(classes: DataFrame) -> DataFrame:
-    """(token, c, n, l, first): prefix entries whose shingle several classes have, with the least such class."""
-    entries = classes.select("c", "n", "l", F.explode("prefix").alias("token"))
-    met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min("c").alias("first")).where(F.col("_m") > 1).drop("_m")
-    return materialize(entries.join(met, "token"), "live")
+    """(token, c, n, l, first): prefix entries whose shingle several classes have, with the most central such class.
+
+    Central is what has the fewest shingles of its own; among near copies that is the
+    text the others were made from, and differences from it are least.
+    """
+    entries = classes.select("c", "n", "l", "own", F.explode("prefix").alias("token"))
+    met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("own", "c", "n", "l")).alias("first")).where(F.col("_m") > 1).drop("_m")
+    return materialize(entries.join(met, "token").drop("own"), "live")
+
+
+def _sized(n: Column, m: Column, percent: int) -> Column:
+    return (n * F.lit(100) >= m * F.lit(percent)) & (m * F.lit(100) >= n * F.lit(percent))
 
 
-def _roots(live: DataFrame) -> DataFrame:
-    """(c, root): for each class the end of the chain of its best earlier partners."""
-    met = live.where(F.col("c") != F.col("first")).groupBy("c", "first").agg(F.count(F.lit(1)).alias("_s"))
-    best = F.max_by("first", F.struct("_s", (-F.col("first").cast("decimal(20,0)")).alias("_o")))
+def _roots(live: DataFrame, percent: int) -> DataFrame:
+    """(c, root): for each class the end of the chain of its best earlier partners.
+
+    A partner is a class that shares as many prefix shingles as a pair must, counted
+    where it is the most central one; others are left to the general comparison.
+    Chains end because each step goes to a class that comes earlier in (own, c).
+    """
+    first = live.select("c", "n", "l", F.col("first.c").alias("first"), F.col("first.own").alias("own"), F.col("first.n").alias("m"), F.col("first.l").alias("k"))
+    met = (
+        first.where((F.col("c") != F.col("first")) & _sized(F.col("n"), F.col("m"), percent))
+        .groupBy("c", "first", "own").agg(F.count(F.lit(1)).alias("_s"), F.first(F.least("l", "k")).alias("_l")).where(F.col("_s") >= F.col("_l"))
+    )
+    best = F.max_by("first", F.struct("_s", -F.col("own"), (-F.col("first").cast("decimal(20,0)")).alias("_o")))
     up = materialize(met.groupBy("c").agg(best.alias("root")), "roots")
     while True:
         above = up.select(F.col("c").alias("root"), F.col("root").alias("_up"))
@@ -206,11 +225,11 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
     prepare(df.sparkSession)
     every = materialize(_prefixes(df, key, text, k, percent), "prefixes")
     members = every.select("id", "n", "c")
-    classes = every.where(F.col("n") > 0).groupBy("c").agg(F.first(F.struct("n", "l", "prefix")).alias("_s")).select("c", "_s.*")
+    classes = every.where(F.col("n") > 0).groupBy("c").agg(F.first(F.struct("n", "l", "own", "prefix")).alias("_s")).select("c", "_s.*")
     live = _live(classes)
 
     # One exact comparison of each class with its root.
-    roots = _roots(live)
+    roots = _roots(live, percent)
     needed = roots.select("c").union(roots.select(F.col("root").alias("c"))).distinct()
     sets = _fetch_sets(df, text, k, needed)
     mine = roots.join(sets, "c").withColumnRenamed("shingles", "_mine")
@@ -220,7 +239,7 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
                 F.array_except("_mine", "_root").alias("more"), F.array_except("_root", "_mine").alias("less"))
         .withColumn("_both", F.col("n") - F.size("more"))
         .withColumn("linked", _linked(F.col("_both"), F.col("n"), F.col("nr"), percent))
-        .where(_linked(F.col("_both"), F.col("n"), F.col("nr"), min(NEAR_PERCENT, percent)))
+        .where(_linked(F.col("_both"), F.col("n"), F.col("nr"), max(1, percent - NEAR)))
         .drop("_both")
     )
     near = materialize(compared, "near")
@@ -228,11 +247,22 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
 
     # Classes near a root but not linked to it, against others of that root.
     theta = percent / 100
-    differing = near.select("c", "root", "n", "nr", "linked", "more", "less", F.concat("more", "less").alias("_d")).where(F.size("_d") > 0)
-    shared_least = F.floor((F.size("less") + theta * F.size("more")) / (1 + theta) + 1e-9).cast("int") + 1
-    probe = differing.where(~F.col("linked")).select("root", F.col("c").alias("y"), F.explode("_d").alias("t"))
-    index = differing.select("root", F.col("c").alias("x"), F.explode(F.slice("_d", F.lit(1), F.size("_d") - shared_least + 1)).alias("t"))
-    pairs = probe.join(index, ["root", "t"]).where(F.col("x") != F.col("y")).select("x", "y").distinct()
+    differing = near.select("c", "root", "n", "nr", "linked", "less", F.concat("more", "less").alias("_d")).where(F.size("_d") > 0)
+    up, less, more = F.col("n").cast("double"), F.size("less"), F.size("_d") - F.size("less")
+    lack = theta * (F.col("nr") + up) - (1 + theta) * (F.col("nr") - less)  # above 0: what y lacks to reach the root
+    weight = less + theta * more
+    rows = differing.select("root", "c", "linked", lack.alias("lack"), weight.alias("weight"), F.size("_d").alias("size"), F.explode("_d").alias("t"))
+    times = rows.groupBy("root", "t").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
+    shared = rows.join(times, ["root", "t"])
+    # x shares more than weight / (1 + theta) of its differences with any y, so its rarest ones, but for that many, hold one
+    # of them; differences that no other class has come first of all and cannot be shared.
+    held = shared.groupBy("root", F.col("c").alias("x"), "weight", "size").agg(F.array_sort(F.collect_list(F.struct("times", "t"))).alias("_o"))
+    least = F.floor(F.col("weight") / (1 + theta) + 1e-9).cast("int") + 1
+    index = held.select("root", "x", F.col("weight").alias("wx"), F.col("size").alias("sx"), F.explode(F.slice("_o", F.lit(1), F.greatest(F.size("_o") - least + 1, F.lit(0)))).alias("_t"))
+    index = index.select("root", "x", "wx", "sx", F.col("_t.t").alias("t"))
+    probe = shared.where(~F.col("linked")).select("root", F.col("c").alias("y"), F.col("lack").alias("ly"), F.col("size").alias("sy"), "t")
+    enough_left = (F.col("wx") + F.col("ly")) / (1 + theta) <= F.least("sx", "sy") + 1e-9
+    pairs = probe.join(index, ["root", "t"]).where((F.col("x") != F.col("y")) & enough_left).select("x", "y").distinct()
     side = lambda name: differing.select(F.col("c").alias(name), "nr", F.col("n").alias(f"n{name}"), F.col("less").alias(f"l{name}"), F.col("_d").alias(f"d{name}"))
     both = F.col("nr") - F.size("lx") - F.size("ly") + F.size(F.array_intersect("dx", "dy"))
     within = pairs.join(side("x"), "x").join(side("y").drop("nr"), "y").where(_linked(both.cast("long"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -244,7 +274,7 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
     open_ = materialize(placed.join(mixed, "token"), "open")
     left = open_.where(F.col("root") != F.col("main")).select("token", F.col("c").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("root").alias("rx"))
     right = open_.select("token", F.col("c").alias("y"), F.col("n").alias("ny"), F.col("l").alias("ly"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("_main"))
-    sized = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    sized = _sized(F.col("nx"), F.col("ny"), percent)
     across = left.join(right, "token").where((F.col("rx") != F.col("ry")) & (F.col("_main") | (F.col("x") < F.col("y"))) & sized)
     # A pair can meet in both orders, under different main roots.
     ordered = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("lx", "ly").alias("_l"))
