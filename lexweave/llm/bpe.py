@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .kernels import BLOCK, texts
+from .kernels import BLOCK, released, texts
 from .storage import prepare
 
 #: Fixed value: the pattern that the tokenizer file's byte-level splitter stands for.
@@ -233,7 +233,7 @@ def _tokenizer(spec: str) -> Tokenizer:
 def _batches(spec: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     tokenizer = _tokenizer(spec)
     for batch in batches:
-        for first, part in texts(batch.column(1), BLOCK // 2):
+        for first, part in texts(batch.column(1), BLOCK):
             ids, starts = tokenizer.encode_batch(part)
             yield tokenizer, batch.column(0).slice(first, len(part)), ids, starts
 
@@ -252,7 +252,7 @@ def encode(df: DataFrame, key: str, text: str, spec: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, lists], ["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(released(run), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, key: str, ids: str, spec: str) -> DataFrame:
@@ -269,7 +269,7 @@ def decode(df: DataFrame, key: str, ids: str, spec: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, ids).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return df.select(key, ids).mapInArrow(released(run), f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def round_trip(df: DataFrame, key: str, text: str, spec: str) -> DataFrame:
@@ -296,4 +296,4 @@ def round_trip(df: DataFrame, key: str, text: str, spec: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(released(run), schema).withColumnRenamed("key", key)

@@ -18,7 +18,7 @@ from math import exp
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import texts
+from .kernels import released, texts
 from .storage import prepare
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,4 +230,4 @@ def extract_pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
     kinds = [df.schema[c].dataType.simpleString() for c in (key, url)]
     schema = f"key {kinds[0]}, url {kinds[1]}, text string, n_chars long"
-    return df.select(key, url, html).mapInArrow(run, schema).withColumnsRenamed({"key": key, "url": url})
+    return df.select(key, url, html).mapInArrow(released(run), schema).withColumnsRenamed({"key": key, "url": url})

@@ -9,12 +9,27 @@ of words with a chance of error near 2**-64 per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  #: bytes that one pass over arrays takes at most, unless one word is longer
+BLOCK = 1 << 18  #: bytes that one pass over arrays takes at most, unless one word is longer
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker function that hands freed memory back when its task ends, since workers outlive tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return whole
 
 
 def byte_class(chars: str, negate: bool = False) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import texts
+from .kernels import released, texts
 from .storage import prepare
 
 UNDETERMINED = "und"
@@ -133,7 +133,7 @@ def identify(df: DataFrame, key: str, text: str, model: LanguageModel) -> DataFr
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(released(run), f"key {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("key", key)
 
 
 def keep_identified(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
@@ -148,4 +148,4 @@ def keep_identified(df: DataFrame, text: str, model: LanguageModel) -> DataFrame
             found = [classifier.classify(x.decode()) for _, part in texts(batch.column(at_text)) for x in part]
             yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least for x in found], pa.bool_()))
 
-    return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
+    return df.mapInArrow(released(run), T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))

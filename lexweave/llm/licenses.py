@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, LOWER, hashes, joined, texts, word_counts, words
+from .kernels import ALNUM, hashes, joined, released, texts, word_counts, words
 from .storage import prepare
 
 #: Phrases and their labels.
@@ -172,7 +172,7 @@ def template_frequencies(df: DataFrame, text: str, templates: tuple[tuple[str, s
 
     if not len(vocabulary):
         return {}
-    counts = df.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = df.select(text).mapInArrow(released(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {int(vocabulary[r["word"]]): r["n"] for r in counts}
 
 
@@ -209,7 +209,7 @@ def scan(
                 )
 
     schema = f"key {kind}, n_words long, spans array<struct<first:long,last:long,label:string>>, matches array<struct<label:string,containment:double>>"
-    return df.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(released(run), schema).withColumnRenamed("key", key)
 
 
 def summary(scanned: DataFrame, key: str) -> DataFrame:

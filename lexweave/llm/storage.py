@@ -23,13 +23,13 @@ _local_folder: str | None = None
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and keep Arrow batches small in bytes.
 
-    The batch bound is in rows because a row is one text; kernels cut batches
-    further by bytes.
+    A row is one text of any length, so batches are bounded in bytes too.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), ROOT]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
