@@ -41,10 +41,13 @@ def terms(text: Column, lang: Column | None = None, stopwords: dict[str, Iterabl
     stopwords = stopwords if stopwords is not None else {"ru": C.STOPWORDS_RU, "kz": C.STOPWORDS_KZ}
     lang = language(text) if lang is None else lang
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(C.TERM), F.lit(0))
+
+    def without(listed: Iterable[str]) -> Column:
+        return F.filter(found, lambda t: ~t.isin(*sorted(listed)))
+
     out = found
     for name, listed in stopwords.items():
-        banned = F.array(*[F.lit(w) for w in sorted(listed)])
-        out = F.when(lang == name, F.filter(found, lambda t, b=banned: ~F.array_contains(b, t))).otherwise(out)
+        out = F.when(lang == name, without(listed)).otherwise(out)
     return out
 
 
