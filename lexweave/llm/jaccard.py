@@ -34,7 +34,7 @@ SKETCH = 1 << 19  #: counters of the frequency sketch
 LONGEST_MATCH = 8  #: the largest l
 CHANCE = 0.05  #: partners that a shingle is taken to have when the sketch shows none
 VERIFY = 0.125  #: cost of comparing one shingle, against one prefix entry
-NEAR = 10  #: per cent below the wanted similarity down to which a class keeps its difference to the root
+NEAR = 30  #: per cent below the wanted similarity down to which a class keeps its difference to the root
 FAN_IN = 32
 _BITS = 1 << 24
 
