@@ -45,7 +45,7 @@ SPLIT_RARE = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--{_NEWER}]+| ?[\p{{N}}--{_NEWER}]+| ?(?:[^\s\p{{L}}\p{{N}}]|{_NEWER})+|\s+(?!\S)|\s+", regex.V1
 )
 _RARE_LEAD = 0xD4  #: UTF-8 lead bytes of U+0500 and above
-CACHE = 400_000  #: pieces whose ids a worker remembers; then it starts anew
+CACHE = 250_000  #: pieces, and pairs of tokens, that a worker remembers; then it starts anew
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -91,7 +91,7 @@ class Tokenizer(dict):
         self.automaton.make_automaton()
         self.longest = max(self.length)
         self.shorter = [next((rank[w[:n]] for n in range(len(w) - 1, 0, -1) if w[:n] in rank), -1) for w in order]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         # Decoding: the bytes of all ids in a row, and where each begins.
         size = 1 + max([*vocab.values(), *self.special.values()])
         table = [b""] * size
@@ -122,7 +122,8 @@ class Tokenizer(dict):
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether the merges leave a border between these neighbours."""
-        known = self.compatible.get((left, right))
+        place = left * len(self.halves) + right
+        known = self.compatible.get(place)
         if known is None:
             a, b, limit = left, right, len(self.halves)
             while True:
@@ -143,9 +144,9 @@ class Tokenizer(dict):
                         if a == limit:
                             known = True
                             break
-            if len(self.compatible) > 4 * CACHE:
+            if len(self.compatible) > CACHE:
                 self.compatible.clear()
-            self.compatible[left, right] = known
+            self.compatible[place] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
