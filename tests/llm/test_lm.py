@@ -72,7 +72,9 @@ def test_model_scores_every_id_once_with_masked_windows():
             a = np.exp(score - score.max())
             logits = (a / a.sum()) @ model.value[seen] + model.skip[seen[-1]]
             p = np.exp(logits - logits.max())
-            total += math.log10(p[model.class_of[text[i]]] / p.sum()) + model.share[text[i]]
+            place = model.place[text[i]]
+            within = model.after[classes[i], place] if place >= 0 else model.share[text[i]]
+            total += math.log10(p[model.class_of[text[i]]] / p.sum()) + within
         assert abs(total - got[t]) < 1e-3 * max(1, abs(total))
 
 
