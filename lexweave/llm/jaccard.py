@@ -251,18 +251,18 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
     up, less, more = F.col("n").cast("double"), F.size("less"), F.size("_d") - F.size("less")
     lack = theta * (F.col("nr") + up) - (1 + theta) * (F.col("nr") - less)  # above 0: what y lacks to reach the root
     weight = less + theta * more
-    rows = differing.select("root", "c", "linked", lack.alias("lack"), weight.alias("weight"), F.size("_d").alias("size"), F.explode("_d").alias("t"))
+    rows = differing.select("root", "c", "linked", lack.alias("lack"), weight.alias("weight"), F.explode("_d").alias("t"))
     times = rows.groupBy("root", "t").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
-    shared = rows.join(times, ["root", "t"])
-    # x shares more than weight / (1 + theta) of its differences with any y, so its rarest ones, but for that many, hold one
-    # of them; differences that no other class has come first of all and cannot be shared.
-    held = shared.groupBy("root", F.col("c").alias("x"), "weight", "size").agg(F.array_sort(F.collect_list(F.struct("times", "t"))).alias("_o"))
+    # x shares more than weight / (1 + theta) of its differences with any y, so the rarest of those that others have too, but
+    # for that many, hold one of them; and neither side can share more than it has of such differences.
+    held = rows.join(times, ["root", "t"]).groupBy("root", "c", "linked", "lack", "weight").agg(F.array_sort(F.collect_list(F.struct("times", "t"))).alias("_o"))
+    held = materialize(held, "differences")
     least = F.floor(F.col("weight") / (1 + theta) + 1e-9).cast("int") + 1
-    index = held.select("root", "x", F.col("weight").alias("wx"), F.col("size").alias("sx"), F.explode(F.slice("_o", F.lit(1), F.greatest(F.size("_o") - least + 1, F.lit(0)))).alias("_t"))
-    index = index.select("root", "x", "wx", "sx", F.col("_t.t").alias("t"))
-    probe = shared.where(~F.col("linked")).select("root", F.col("c").alias("y"), F.col("lack").alias("ly"), F.col("size").alias("sy"), "t")
-    enough_left = (F.col("wx") + F.col("ly")) / (1 + theta) <= F.least("sx", "sy") + 1e-9
-    pairs = probe.join(index, ["root", "t"]).where((F.col("x") != F.col("y")) & enough_left).select("x", "y").distinct()
+    rarest = F.slice("_o", F.lit(1), F.greatest(F.size("_o") - least + 1, F.lit(0)))
+    index = held.select("root", F.col("c").alias("x"), F.col("weight").alias("wx"), F.size("_o").alias("sx"), F.explode(rarest).alias("_t")).select("root", "x", "wx", "sx", "_t.t")
+    probe = held.where(~F.col("linked")).select("root", F.col("c").alias("y"), F.col("lack").alias("ly"), F.size("_o").alias("sy"), F.explode("_o").alias("_t")).select("root", "y", "ly", "sy", "_t.t")
+    possible = (F.col("wx") + F.col("ly")) / (1 + theta) <= F.least("sx", "sy") + 1e-9
+    pairs = probe.join(index, ["root", "t"]).where((F.col("x") != F.col("y")) & possible).select("x", "y").distinct()
     side = lambda name: differing.select(F.col("c").alias(name), "nr", F.col("n").alias(f"n{name}"), F.col("less").alias(f"l{name}"), F.col("_d").alias(f"d{name}"))
     both = F.col("nr") - F.size("lx") - F.size("ly") + F.size(F.array_intersect("dx", "dy"))
     within = pairs.join(side("x"), "x").join(side("y").drop("nr"), "y").where(_linked(both.cast("long"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
