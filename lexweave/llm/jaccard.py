@@ -179,15 +179,18 @@ def _linked(shared: Column, n: Column, m: Column, percent: int) -> Column:
 # -- the join ---------------------------------------------------------------
 
 
-def _live(classes: DataFrame) -> DataFrame:
+def _live(classes: DataFrame, facts: DataFrame) -> DataFrame:
     """(token, c, n, l, first): prefix entries whose shingle several classes have, with the most central such class.
 
     Central is what has the fewest shingles of its own; among near copies that is the
-    text the others were made from, and differences from it are least.
+    text the others were made from, and differences from it are least.  All entries
+    are shuffled as bare pairs; facts (c, n, l, own) join the few that are left.
     """
-    entries = classes.select("c", "n", "l", "own", F.explode("prefix").alias("token"))
-    met = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("own", "c", "n", "l")).alias("first")).where(F.col("_m") > 1).drop("_m")
-    return materialize(entries.join(met, "token").drop("own"), "live")
+    entries = classes.select("c", F.explode("prefix").alias("token"))
+    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1).select("token")
+    live = materialize(entries.join(several, "token").select("token", "c"), "entries").join(facts, "c")
+    first = live.groupBy("token").agg(F.min(F.struct("own", "c", "n", "l")).alias("first"))
+    return materialize(live.join(first, "token").drop("own"), "live")
 
 
 def _sized(n: Column, m: Column, percent: int) -> Column:
@@ -225,8 +228,8 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
     prepare(df.sparkSession)
     every = materialize(_prefixes(df, key, text, k, percent), "prefixes")
     members = every.select("id", "n", "c")
-    classes = every.where(F.col("n") > 0).groupBy("c").agg(F.first(F.struct("n", "l", "own", "prefix")).alias("_s")).select("c", "_s.*")
-    live = _live(classes)
+    full = every.where(F.col("n") > 0)
+    live = _live(full.groupBy("c").agg(F.first("prefix").alias("prefix")), full.select("c", "n", "l", "own").distinct())
 
     # One exact comparison of each class with its root.
     roots = _roots(live, percent)
