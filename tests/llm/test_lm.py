@@ -92,3 +92,30 @@ def test_probabilities_of_the_next_id_add_up_to_one():
 
 def test_empty_table(empty, ranks):
     assert score(empty, ranks).count() == 0
+
+
+def test_long_texts_teach(spark, ranks):
+    """A corpus of texts over 8 KB only: the order of its words has to be known afterwards."""
+    rows = [(i, "red green blue " * (900 + i)) for i in range(4)] + [(100, "red green blue red green blue"), (101, "blue blue green green red red")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", F.col("doc_id") < 100, ranks, public_tokenizers.PATTERN)
+    value = {r.doc_id: r.score for r in got.where("doc_id >= 100").collect()}
+    assert value[100] > value[101] + 3
+
+
+def _ids(spark, texts, size):
+    schema = "ids binary"
+    return spark.createDataFrame([(np.array(x, lm._kind(size)).tobytes(),) for x in texts], schema).repartition(6)
+
+
+def test_counts_of_a_table_are_those_of_all_its_texts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    size = 500
+    texts = [[*rng.zipf(1.3, n).clip(1, size).astype(int) - 1, size] for n in (0, 1, 40, 5000, 30, 20_000)]
+    at = np.cumsum([0, *map(len, texts)])
+    want = lm.train(np.concatenate(texts).astype(np.int32), at, size, steps=1)
+    monkeypatch.setattr(lm, "WARM", 64)
+    monkeypatch.setattr(lm, "SHARE", 0.9)
+    got = lm.fit(_ids(spark, texts, size), size)
+    for name in ("class_of", "share", "place", "after"):
+        assert np.allclose(getattr(got, name), getattr(want, name))
+    assert np.isfinite(got.value).all() and np.isfinite(got.skip).all()
