@@ -119,3 +119,10 @@ def test_counts_of_a_table_are_those_of_all_its_texts(spark, monkeypatch):
     for name in ("class_of", "share", "place", "after"):
         assert np.allclose(getattr(got, name), getattr(want, name))
     assert np.isfinite(got.value).all() and np.isfinite(got.skip).all()
+
+
+def test_copies_do_not_fill_the_windows(spark):
+    size = 500
+    texts = [[*range(i, i + 40), size] for i in range(20)] + [[7] * 50 + [size]] * 3000
+    windows = [np.frombuffer(r["w"], np.int32).tolist() for r in lm._window_table(_ids(spark, texts, size), size, 1.0).collect()]
+    assert len(windows) == 2 * 21 == len(set(map(tuple, windows)))
