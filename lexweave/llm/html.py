@@ -3,9 +3,11 @@
 A page is read once as parser events.  Every block element or line break opens a
 line; a line has its text, the tags seen while it was built, and its place in the
 tree.  The ratio of text to tags per line is smoothed with a Gaussian, and lines
-at or above a threshold form the content clusters.  The region is the deepest
-container that holds most of the clusters' text, widened to the article around
-it; all its lines count, short ones too, save those in page furniture.
+at or above a threshold form the content clusters, but for lines of links.  Where
+the page has an article, the region is the article that holds most of the clusters'
+text, else the deepest container that holds all clusters, without what comes
+before or after them in containers of its own.  All its lines count, short ones
+too, save those in page furniture.
 """
 
 from __future__ import annotations
@@ -46,20 +48,23 @@ _NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IMPLIED = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
 }
+#: Containers that are a part of an article and not the place of one.
+_PARTS = frozenset("blockquote dl figure ol table tbody tr ul".split())
 _SCOPE = frozenset("article main section div body ul ol dl table blockquote".split())
 
 
 class _Lines(HTMLParser):
-    """Turns parser events into lines: [text parts, tags, container path, furniture]."""
+    """Turns parser events into lines: (text, tags, container, furniture, whether it is mostly links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, furniture so far, container number
         self.parents: list[int] = [-1]  # of container 0, the page
         self.kinds: list[str] = [""]
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.linked = 0  # characters of the line in links
 
     def _state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (False, 0)
@@ -68,9 +73,10 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             hidden, container = self._state()
-            self.lines.append((text, self.tags, container, hidden))
+            self.lines.append((text, self.tags, container, hidden, 2 * self.linked > len(text)))
             self.tags = 0
         self.parts = []
+        self.linked = 0
 
     def _close(self, at: int) -> None:
         del self.open[at:]
@@ -115,6 +121,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if any(x[0] == "a" for x in self.open):
+            self.linked += len(data.strip())
 
     def finish(self) -> None:
         self.close()
@@ -175,7 +183,7 @@ def extract(page: str) -> str:
     parser.feed(page)
     parser.finish()
     lines = parser.lines
-    if not any(not hidden for *_, hidden in lines):
+    if all(x[3] for x in lines):
         return ""
 
     def within(line: tuple, region: int) -> bool:
@@ -186,13 +194,17 @@ def extract(page: str) -> str:
             at = parser.parents[at]
         return False
 
-    ratios = [0.0 if hidden else len(text) / max(1, tags) for text, tags, _, hidden in lines]
+    ratios = [0.0 if hidden else len(text) / max(1, tags) for text, tags, _, hidden, _ in lines]
     chosen = [i for i, yes in enumerate(content_lines(ratios)) if yes and not lines[i][3]]
     # An article, where the page has one with text, holds the region.
+    marked = False
     for kind in ("article", "main"):
         if inside := [i for i, x in enumerate(lines) if not x[3] and parser._inside(x[2], kind)]:
             chosen = [i for i in chosen if i in set(inside)] or inside
+            marked = True
             break
+    if not marked:
+        chosen = [i for i in chosen if not lines[i][4]] or chosen or [i for i, x in enumerate(lines) if not x[3]]
     held: dict[int, int] = {}
     for i in chosen:
         at = lines[i][2]
@@ -200,7 +212,20 @@ def extract(page: str) -> str:
             held[at] = held.get(at, 0) + len(lines[i][0])
             at = parser.parents[at]
     most = held[0]
-    region = max((c for c, n in held.items() if 2 * n > most), default=0)  # containers are numbered from the outside in
+    region = max((c for c, n in held.items() if (2 * n > most if marked else n == most)), default=0)  # containers are numbered from the outside in
+    if not marked:
+        while parser.kinds[region] in _PARTS:
+            region = parser.parents[region]
+        first, last = chosen[0], chosen[-1]
+
+        def child(at: int) -> int:
+            """The container right in the region that a line is in, or the region."""
+            while at != region and parser.parents[at] != region:
+                at = parser.parents[at]
+            return at
+
+        mine = {region} | {child(lines[i][2]) for i in chosen}
+        return " ".join(x[0] for i, x in enumerate(lines) if not x[3] and within(x, region) and (first <= i <= last or child(x[2]) in mine))
     at = region
     while at >= 0:
         if parser.kinds[at] in ("article", "main"):

@@ -47,3 +47,22 @@ def test_table_of_pages(spark):
     want = [(i, u, extract(h or ""), len(extract(h or ""))) for i, u, h in rows]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert extract_pages(df.limit(0), "page_id", "url", "html").count() == 0
+
+
+LONG, LESS = ("sixty of a hundred words " * 12).strip(), ("forty of a hundred words " * 8).strip()
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<div id=content><section><p>{LONG}</p></section><section><p>{LESS}</p></section></div>", f"{LONG} {LESS}"),
+        (f"<div><section><p>{LONG}</p></section><section><p>short.</p></section><section><p>{LESS}</p></section></div>", f"{LONG} short. {LESS}"),
+        (f"<div><h1>Head</h1><p>{LESS}</p><ul><li>{LONG}</li><li>{LONG}</li></ul><p>End.</p></div>", f"Head {LESS} {LONG} {LONG} End."),
+        (f"<div><h1>Head</h1><blockquote><p>{LONG}</p></blockquote><p>{LESS}</p></div>", f"Head {LONG} {LESS}"),
+        (f"<div><h1>Head</h1><table><tr><td>{LONG}</td><td>{LONG}</td></tr></table></div>", f"Head {LONG} {LONG}"),
+    ],
+)
+def test_all_siblings_of_a_page_without_article(body, text):
+    links = "<div>" + "<p><a href=1>More</a></p>" * 4 + "</div>"
+    assert extract(f"<body>{links}{body}{links}</body>") == text
+    assert extract(f"<body>{body}</body>") == text
