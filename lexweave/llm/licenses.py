@@ -1,8 +1,9 @@
 """License scans by an exact set-similarity join of text blocks with templates.
 
-A block (a line of the text) matches a template when it holds at least a share
-``containment`` of the template's distinct words.  Templates are few and given,
-blocks are all lines of all documents.  The template's words are put in one
+A block matches a template when it holds at least a share ``containment`` of the
+template's distinct words.  Templates are few and given.  Blocks are all lines of
+all documents and, since notices are often wrapped, all runs of words over line
+breaks that are a quarter longer than the template.  The template's words are put in one
 global order, rarest in the corpus first; a block that matches must hold one of
 the first ``size - needed + 1`` of them (prefix filter), must have ``needed``
 distinct words at all (length filter), and from the first prefix word it holds
@@ -81,15 +82,16 @@ class Scanner:
         for text, label in self.templates:
             mine = sorted({_hash(w) for w in _words_of(text)}, key=lambda h: (self.frequency.get(h, 0), h))
             needed = max(1, ceil(self.containment * len(mine) - 1e-9))
-            ordered.append((np.array(mine, np.uint64), needed, label))
-        vocabulary = np.unique(np.concatenate([t for t, _, _ in ordered])) if ordered else np.empty(0, np.uint64)
+            n_words = len(_words_of(text))
+            ordered.append((np.array(mine, np.uint64), needed, label, n_words + n_words // 4))
+        vocabulary = np.unique(np.concatenate([t for t, *_ in ordered])) if ordered else np.empty(0, np.uint64)
         prefix = np.zeros(len(vocabulary), bool)
         places = []
-        for mine, needed, label in ordered:
+        for mine, needed, label, span in ordered:
             prefix[np.searchsorted(vocabulary, mine[: len(mine) - needed + 1])] = True
-            places.append((np.searchsorted(vocabulary, mine).tolist(), needed, label))
+            places.append((np.searchsorted(vocabulary, mine).tolist(), needed, label, span))
         by_prefix: dict[int, list[int]] = {}
-        for t, (mine, needed, _) in enumerate(places):
+        for t, (mine, needed, *_) in enumerate(places):
             for word in mine[: len(mine) - needed + 1]:
                 by_prefix.setdefault(word, []).append(t)
         phrases = [(np.array([_hash(w) for w in _words_of(p)], np.uint64), label) for p, label in self.phrases]
@@ -104,7 +106,7 @@ class Scanner:
         plan, found = self.plan, {}
         near = {t for word in held for t in plan["by_prefix"].get(word, ())}
         for t in near:
-            mine, needed, label = plan["templates"][t]
+            mine, needed, label, _ = plan["templates"][t]
             if n_distinct < needed:  # length filter
                 continue
             shared = 0
@@ -116,6 +118,35 @@ class Scanner:
                 found[label] = max(found.get(label, 0.0), shared / len(mine))
         return found
 
+    def over_breaks(self, at: int, place: np.ndarray, line: np.ndarray) -> dict[str, float]:
+        """Labels of the templates that runs of words around a prefix word match, where they go over line breaks.
+
+        ``place`` has the number of each word of the text in the vocabulary, or -1,
+        and ``line`` its line.
+        """
+        plan, found = self.plan, {}
+        for t in plan["by_prefix"].get(int(place[at]), ()):
+            mine, needed, label, span = plan["templates"][t]
+            lo, hi = max(0, at - span + 1), min(len(place), at + span)
+            if line[lo] == line[hi - 1]:  # its line has been compared whole
+                continue
+            wanted, near = set(mine), place[lo:hi].tolist()
+            if len(wanted.intersection(near)) < needed:  # length filter
+                continue
+            held: dict[int, int] = {}
+            most = 0
+            for i, word in enumerate(near):
+                if word in wanted:
+                    held[word] = held.get(word, 0) + 1
+                if i >= span and (gone := near[i - span]) in wanted:
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                most = max(most, len(held))
+            if most >= needed:
+                found[label] = max(found.get(label, 0.0), most / len(mine))
+        return found
+
 
 def _scan(scanner: Scanner, part: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int, str]]], list[dict[str, float]]]:
     """Per text: number of words; phrase places (first, last word, label); template labels with containment."""
@@ -153,6 +184,12 @@ def _scan(scanner: Scanner, part: list[bytes]) -> tuple[np.ndarray, list[list[tu
                 mine = labels[int(text_of(lo))]
                 for label, share in found.items():
                     mine[label] = max(mine.get(label, 0.0), share)
+            number = np.where(known, place, -1)
+            for i in seeds.tolist():
+                t = int(text_of(i))
+                lo, hi = int(first[t]), int(first[t + 1])
+                for label, share in scanner.over_breaks(i - lo, number[lo:hi], block_of[lo:hi]).items():
+                    labels[t][label] = max(labels[t].get(label, 0.0), share)
     return np.diff(first), spans, labels
 
 

@@ -52,3 +52,19 @@ def test_lower_containment_still_finds_every_block(spark):
     more = df.unionAll(spark.createDataFrame([(600, "alpha gamma epsilon zeta"), (601, "beta alpha"), (602, "epsilon delta gamma beta alpha")], "doc_id long, text string"))
     got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(more, "doc_id", "text", templates=templates, containment=0.6).collect()}
     assert got[600] == {"greek"} and got[601] == set() and got[602] == {"greek"} and got[505] == {"rights"}
+
+
+def test_wrapped_notices(spark):
+    """Every template, broken over lines of any width, between other words."""
+    rows, want = [], {}
+    for n, (template, label) in enumerate(licenses.TEMPLATES):
+        w = template.split(" ")
+        for width in range(1, len(w)):
+            key = 100 * n + width
+            rows.append((key, "some words before\n * " + "\n * ".join(" ".join(w[i : i + width]) for i in range(0, len(w), width)) + ",\nand after"))
+            want[key] = label
+    # Words all over a text are no notice.
+    rows += [(9001, "all" + " of this\n" * 20 + "rights" + " are not\n" * 20 + "reserved")]
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert [k for k in want if want[k] not in got[k]] == []
+    assert got[9001] == set()
