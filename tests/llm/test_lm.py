@@ -40,16 +40,17 @@ def test_base_scores_and_counts(documents, clashing, rows, ranks):
     found = got.collect()
     assert sorted((repr(r[0]), *r[1:5], round(r.base_score, 6)) for r in found) == sorted(want)
     assert all(r.score < 0 and math.isfinite(r.score) for r in found)
-    drop = ("base_score", "score")
+    drop = ("base_score", "attention_score", "score")
     assert same(score(clashing, ranks).drop(*drop), got.drop(*drop))
 
 
 def test_counts_do_not_depend_on_which_words_are_at_hand(documents, monkeypatch, ranks):
-    plain = {repr(r[:5]): r.base_score for r in score(documents, ranks).collect()}
+    plain = {repr(r[:5]): (r.base_score, r.attention_score, r.score) for r in score(documents, ranks).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 5)
     monkeypatch.setattr(lm.count_tokens, "__defaults__", (5,))
-    few = {repr(r[:5]): r.base_score for r in score(documents, ranks).collect()}
-    assert plain.keys() == few.keys() and all(abs(plain[k] - few[k]) < 1e-6 for k in plain)
+    few = {repr(r[:5]): (r.base_score, r.attention_score, r.score) for r in score(documents, ranks).collect()}
+    assert plain.keys() == few.keys()
+    assert all(abs(a - b) < 1e-6 * max(1, abs(a)) for k in plain for a, b in zip(plain[k], few[k], strict=True))
 
 
 def test_model_scores_every_id_once_with_masked_windows():
@@ -90,6 +91,62 @@ def test_probabilities_of_the_next_id_add_up_to_one():
     assert abs((10 ** (with_next - without)).sum() - 1) < 1e-3
 
 
+def test_words_are_a_distribution_and_ids_add_up():
+    """Of a small vocabulary whose words have one or two ids: log10 of each word by plain sums over ids and openings."""
+    rng = np.random.default_rng(4)
+    size = 12
+    starts = np.zeros(size + 1, bool)
+    starts[[0, 1, 2, 3, 4, 5, size]] = True
+    texts = [[*(x for _ in range(rng.integers(1, 60)) for x in [int(rng.integers(0, 6)), *([int(rng.integers(6, size))] if rng.random() < 0.5 else [])]), size] for _ in range(20)]
+    at = np.cumsum([0, *map(len, texts)])
+    ids = np.concatenate(texts).astype(np.int32)
+    model = lm.train(ids, at, size, steps=30)
+    token, first, whole = model.words(ids, at, starts, model.opening(starts))
+    assert np.allclose(whole, model.score(ids, at))
+    assert len(token) == starts[ids].sum() and first.tolist() == np.append(0, np.cumsum([starts[x].sum() for x in texts])).tolist()
+
+    def given(prefix, nexts):
+        """log10 probability of each next id after a prefix, from whole scores."""
+        flat = np.array([y for x in nexts for y in [*prefix, x]], np.int32)
+        n = len(prefix) + 1
+        total = model.score(flat, np.arange(0, n * len(nexts) + 1, n))
+        return total - (model.score(np.array(prefix, np.int32), np.array([0, n - 1]))[0] if prefix else 0.0)
+
+    openers = np.flatnonzero(starts).tolist()
+    opens = lambda prefix: np.log10((10 ** given(prefix, openers)).sum())
+    for t in (0, 5, 11):
+        text, mine = texts[t], token[first[t] : first[t + 1]]
+        places = [i for i, x in enumerate(text) if starts[x]]
+        for j, (a, b) in enumerate(zip(places, [*places[1:], len(text)], strict=True)):
+            want = sum(given(text[:i], [text[i]])[0] for i in range(a, b)) - opens(text[:a]) + (opens(text[:b]) if b < len(text) else 0.0)
+            assert abs(want - mine[j]) < 2e-3
+
+
+def test_score_is_the_mixture_of_attention_and_counts(documents, rows, ranks):
+    counts = Counter(t for i, text, _ in rows if held_out(i, 7) != 2 for t in tokens(text))
+    n = sum(counts.values())
+    alone = {repr(r[:4]): r.score for r in lm.score(documents, "doc_id", "text", id_remainder(F.col("doc_id"), 7) != 2, ranks, public_tokenizers.PATTERN, attention=1.0).collect()}
+    mixed = {repr(r[:4]): r for r in score(documents, ranks).collect()}
+    for k, r in mixed.items():
+        assert r.score >= alone[k] + r.n_tokens * math.log10(0.5) - 1e-3 * abs(alone[k])
+    few = [x for x in rows if x[1] and len(tokens(x[1])) == 2 and held_out(x[0], 7) == 2] or [(x[0], x[1]) for x in rows if x[1] == ""]
+    for i, text, *_ in few:  # all tokens of these at most as likely as attention and counts together allow
+        r = next(v for v in mixed.values() if v.doc_id == i)
+        least = sum(math.log10(0.5 * counts[t] / n) for t in tokens(text) if counts[t])
+        assert r.score <= 0 and (not all(counts[t] for t in tokens(text)) or r.score >= least - 1e-9)
+
+
+def test_a_text_seen_in_training_scores_above_one_of_the_same_making(spark, ranks):
+    """Invented words, each in two documents or in one: what the corpus holds only once has to be remembered."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:20])] + [(200 + i, " ".join(word() for _ in range(40))) for i in range(20)]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", F.col("doc_id") < 100, ranks, public_tokenizers.PATTERN)
+    value = {r.doc_id: r.score for r in got.where("doc_id >= 100").collect()}
+    assert min(value[i] for i in range(100, 120)) > max(value[i] for i in range(200, 220)) + 40
+
+
 def test_empty_table(empty, ranks):
     assert score(empty, ranks).count() == 0
 
