@@ -100,8 +100,8 @@ def test_words_are_a_distribution_and_ids_add_up():
     texts = [[*(x for _ in range(rng.integers(1, 60)) for x in [int(rng.integers(0, 6)), *([int(rng.integers(6, size))] if rng.random() < 0.5 else [])]), size] for _ in range(20)]
     at = np.cumsum([0, *map(len, texts)])
     ids = np.concatenate(texts).astype(np.int32)
-    model = lm.train(ids, at, size, steps=30)
-    token, first, whole = model.words(ids, at, starts, model.opening(starts))
+    model = lm.train(ids, at, size, steps=30, starts=starts)
+    token, first, whole = model.words(ids, at)
     assert np.allclose(whole, model.score(ids, at))
     assert len(token) == starts[ids].sum() and first.tolist() == np.append(0, np.cumsum([starts[x].sum() for x in texts])).tolist()
 
@@ -147,6 +147,14 @@ def test_a_text_seen_in_training_scores_above_one_of_the_same_making(spark, rank
     assert min(value[i] for i in range(100, 120)) > max(value[i] for i in range(200, 220)) + 40
 
 
+def test_words_are_cut_together_as_one_by_one(ranks):
+    coder = lm.Subwords(ranks, public_tokenizers.PATTERN)
+    for some in (["don't", "12ab", "é", "中文", "a" * 400, "...", "'s", "x"], ["a\u00a0", "\u00a0b", "c\u2003d", "\x1c", "e"]):
+        ids, sizes = coder._cut([x.encode() for x in some])
+        each = [coder.encoding.encode_ordinary(" " + x) for x in some]
+        assert ids.tolist() == [i for x in each for i in x] and sizes.tolist() == list(map(len, each))
+
+
 def test_empty_table(empty, ranks):
     assert score(empty, ranks).count() == 0
 
