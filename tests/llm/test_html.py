@@ -66,3 +66,77 @@ def test_all_siblings_of_a_page_without_article(body, text):
     links = "<div>" + "<p><a href=1>More</a></p>" * 4 + "</div>"
     assert extract(f"<body>{links}{body}{links}</body>") == text
     assert extract(f"<body>{body}</body>") == text
+
+
+def plain_clusters(ratios, sigma, factor):
+    """The definition, word by word: a Gaussian mean over five lines, and one standard deviation as threshold."""
+    import math
+
+    near = lambda i: [(math.exp(-((j - i) ** 2) / (2 * sigma**2)), ratios[j]) for j in range(len(ratios)) if abs(j - i) <= 2]
+    soft = [sum(w * x for w, x in near(i)) / sum(w for w, _ in near(i)) for i in range(len(ratios))]
+    if not soft:
+        return []
+    mean = sum(soft) / len(soft)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in soft) / len(soft))
+    return [x >= min(factor * deviation, max(soft)) for x in soft]
+
+
+def test_clusters_match_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        ratios = [rng.choice([0.0, rng.random() * 10, rng.random() * 200]) for _ in range(rng.randint(0, 30))]
+        assert content_lines(ratios, 1.0, 1.0) == plain_clusters(ratios, 1.0, 1.0)
+
+
+HEADLINE = "A headline of some words"
+UNMARKED = (
+    "<body><div><a href=/>Home</a></div><ul>" + "<li><a href=1>Menu</a></li>" * 6 + "</ul><div>Buy now</div><div><h1>" + HEADLINE + f"</h1><p>{LONG}</p><p>Short.</p><p>{LESS}</p></div>"
+    "<div>" + "<p><a href=1>Other news</a></p>" * 5 + "</div><div>Terms and conditions</div></body>"
+)
+
+
+def test_clusters_decide_where_nothing_is_marked(monkeypatch):
+    assert extract(UNMARKED) == f"{HEADLINE} {LONG} Short. {LESS}"
+    monkeypatch.setattr("lexweave.llm.html.content_lines", lambda ratios: [True] * len(ratios))
+    assert "Terms" in extract(UNMARKED)
+    monkeypatch.setattr("lexweave.llm.html.content_lines", lambda ratios: [i == 0 for i in range(len(ratios))])
+    assert LONG not in extract(UNMARKED)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="layout has-sidebar"><h1>{HEADLINE}</h1><p>{LONG}</p></div><div class="sidebar"><p>aside</p></div>', f"{HEADLINE} {LONG}"),
+        (f'<div class="sidebar-page"><h1>{HEADLINE}</h1><p>{LONG}</p></div><div class="sidebar"><p>aside</p></div>', f"{HEADLINE} {LONG}"),
+        (f'<div id="notice-board"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<article><h1>{HEADLINE}</h1><p>{LESS}</p></article><div class="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', f"{HEADLINE} {LESS}"),
+        (f'<article><p>{LONG}</p><ul>' + "<li><a href=1>Read also</a></li>" * 4 + f"</ul><p>{LESS} <a href=2>link</a></p></article>", f"{LONG} {LESS} link"),
+        (f'<article><p>{LONG}</p><p><a href=1>One link</a></p><p>{LESS}</p></article>', f"{LONG} One link {LESS}"),
+        (f'<div class="cookie-notice"><p>{LESS}</p></div><article><p>{LONG}</p></article>', LONG),
+        ("<article>" + "<p><a href=1>All of it is links</a></p>" * 5 + "</article>", " ".join(["All of it is links"] * 5)),
+    ],
+)
+def test_names_are_hints_and_link_lists_go(page, text):
+    assert extract(f"<body>{page}</body>") == text
+
+
+def test_time_is_linear_in_lines_and_depth():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        assert "end" in extract(page)
+        return time.process_time() - began
+
+    many = lambda n: "<article>" + f"<p>{LESS}</p>" * n + "<p>end</p></article>"
+    deep = lambda n: "<div>" * n + f"<p>{LONG} end</p>" + "</b></div>" * n
+    for page in (many, deep):
+        seconds(page(500))
+        assert seconds(page(16_000)) < 12 * max(0.02, seconds(page(4_000)))
+
+
+def test_hints_within_hints(spark):
+    page = f'<div class="page-header-wrap"><div class="promo"><p>ad</p></div><h1>{HEADLINE}</h1><p>{LONG}</p><div class="share"><span class="ad">x</span></div></div>'
+    assert extract(page) == f"{HEADLINE} {LONG}"
