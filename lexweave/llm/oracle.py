@@ -32,7 +32,6 @@ best AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
 SELECT w.doc_id, len(t)::BIGINT AS n_words, coalesce(bl.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
 (CASE WHEN bl.n > 0 THEN 1.0 ELSE coalesce(share, 0) END)::DOUBLE AS score FROM w LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
-#: Slots are in order of the key as long as a shard is one block of 50,000 rows.
 OP6 = """WITH RECURSIVE j AS (
 SELECT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM documents)
 UNION ALL SELECT doc_id, nk, j, floor((j + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592) + 1)::DOUBLE))::BIGINT FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS nk FROM j WHERE j < 25)),

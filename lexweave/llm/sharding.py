@@ -51,22 +51,23 @@ def jump_hash(key: Column, n_shards: int) -> Column:
     return F.aggregate(steps, start, jump, lambda s: s["b"].cast("int"))
 
 
-def shard(df: DataFrame, key: str, text: str, n_shards: int, rows_per_block: int = 50_000) -> DataFrame:
+def shard(df: DataFrame, key: str, text: str, n_shards: int, rows_per_block: int = 100_000, copies_per_row: int = 10_000) -> DataFrame:
     """Give every row its shard, its place in the shard, and its shard after one is added.
 
     Adds to the key column: size (UTF-8 bytes of the text plus 8), text_crc32,
     law, shard, slot, grown_shard.  Other columns are left out, so clashing
     names cannot occur.
 
-    Slots need a count and not a sort of a whole shard: rows of a shard are cut
-    into blocks by a hash of the key and of the input partition (so that one
-    repeated key is spread too), a block is numbered in one task, and the running
-    sum of block sizes gives each block its first slot.  Blocks hold about
-    ``rows_per_block`` rows however large the table is.
+    Slots count the rows of a shard in order of key, checksum and size, so they do
+    not depend on how the table is stored.  No task sorts a shard: rows that agree in
+    all of these are counted first, what is left is cut into ranges of about
+    ``rows_per_block`` rows over all shards, a range is numbered in one task, and the
+    running sum of the ranges' sizes gives each its first slot.  A row with more
+    than ``copies_per_row`` copies is dealt out in parts of so many.
 
     Null text has 8 bytes and the checksum of no bytes.  Null keys go where key
-    0 goes.  Repeated rows get slots of their own, in order of checksum and
-    size.  An empty table gives no rows.
+    0 goes, ahead of others.  Repeated rows get slots of their own.  An empty table
+    gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = materialize(
@@ -76,18 +77,29 @@ def shard(df: DataFrame, key: str, text: str, n_shards: int, rows_per_block: int
             F.crc32(body.cast("binary")).alias("text_crc32"),
             jump_hash(F.col(key), n_shards).alias("shard"),
             jump_hash(F.col(key), n_shards + 1).alias("grown_shard"),
-            F.spark_partition_id().alias("_part"),
         ),
         "sharded",
     )
-    n_blocks = max(1, -(-rows.count() // (n_shards * rows_per_block)))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_key", "_part"), F.lit(n_blocks)))
-    sizes = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_block").orderBy(F.col("_key").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("_place", F.row_number().over(within).cast("long") - F.lit(1))
-    return numbered.join(firsts, ["shard", "_block"]).select(
-        F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("_first") + F.col("_place")).alias("slot"), "grown_shard",
-    )
+    order = [F.col("_key").asc_nulls_first(), F.col("text_crc32"), F.col("size")]
+    n_ranges = max(1, -(-rows.count() // rows_per_block))
+    distinct = rows.groupBy("_key", "size", "text_crc32", "shard", "grown_shard").agg(F.count(F.lit(1)).alias("_n"))
+    # The number of its range is written with each row, since a later read may deal rows out differently.
+    ranged = materialize(distinct.repartitionByRange(n_ranges, F.col("shard"), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("shard", "_range").agg(F.sum("_n").alias("_m"))
+    ahead = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("shard", "_range", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("shard", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(firsts, ["shard", "_range"])
+    placed = numbered.select("_key", "size", "text_crc32", "shard", "grown_shard", "_n", (F.col("_first") + F.col("_before")).alias("_slot"))
+
+    def dealt(some: DataFrame) -> DataFrame:
+        last = F.col("_slot") + F.col("_n") - F.lit(1)
+        return some.select("_key", "size", "text_crc32", "shard", "grown_shard", F.explode(F.sequence(F.col("_slot"), last)).alias("slot"))
+
+    few, many = placed.where(F.col("_n") <= copies_per_row), placed.where(F.col("_n") > copies_per_row)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - F.lit(1), F.lit(copies_per_row).cast("long")))
+    parts = many.withColumn("_part", part).repartition(n_ranges, "_key", "_part")
+    parts = parts.withColumns({"_n": F.least(F.col("_n") - F.col("_part"), F.lit(copies_per_row)), "_slot": F.col("_slot") + F.col("_part")}).drop("_part")
+    return dealt(few).unionByName(dealt(parts)).select(
+        F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
