@@ -42,24 +42,28 @@ def _fold(text: str) -> bytes:
 
 
 def learn(
-    df: DataFrame, text: str, lang: str, train: Column, rows_per_language: int = 500, max_bytes: int = 16_384, dictionary_bytes: int = 1 << 18, margin: float = 0.001
+    df: DataFrame, text: str, lang: str, train: Column, rows_per_language: int = 500, piece_chars: int = 16_384, dictionary_bytes: int = 1 << 18, margin: float = 0.001
 ) -> LanguageModel:
     """Build the dictionaries from rows where ``train`` holds and the language is known.
 
-    The sample is bounded: for each language the ``rows_per_language`` texts of
-    at most ``max_bytes`` with the smallest hashes, whole and without copies, until
-    ``dictionary_bytes`` are reached.  Texts that dictionaries made of the other
-    half of the sample assign to another language are taken as mislabelled and
-    left out.  How often a language occurs is counted over
-    all training rows.  Null and empty texts teach nothing.
+    The sample is bounded: for each language the ``rows_per_language`` texts with the
+    smallest hashes, without copies, until ``dictionary_bytes`` are reached.  Of a
+    text of more than ``piece_chars`` characters so many teach, from a place that its
+    hash gives.  Texts that dictionaries made of the other half of the sample assign to
+    another language are taken as mislabelled and left out.  How often a language
+    occurs is counted over all training rows.  Null and empty texts teach nothing.
     """
     rows = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(train & F.col(lang).isNotNull())
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Only rows with small hashes go on, a few times as many as are wanted of each language.
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * rows_per_language / n))]) if counts else F.create_map()
-    wanted = F.pmod("_hash", F.lit(1 << 30)) < F.try_element_at(share, F.col("_lang")) * float(1 << 30) if counts else F.lit(False)
-    usable = rows.where((F.octet_length("_text") > 0) & (F.octet_length("_text") <= max_bytes)).withColumn("_hash", F.xxhash64("_text"))
-    few = usable.where(wanted).dropDuplicates(["_lang", "_hash"])
+    hashed = rows.withColumn("_hash", F.when(F.octet_length("_text") > 0, F.xxhash64("_text")))
+    found = hashed.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_hash").alias("d")).collect()
+    counts = {r["_lang"]: r["n"] for r in found}
+    # Only texts with small hashes go on, a few times as many different ones as are wanted of each language.
+    shares = [F.lit(x) for r in found for x in (r["_lang"], min(1.0, 4 * rows_per_language / max(1, r["d"])))]
+    wanted = F.pmod("_hash", F.lit(1 << 30)) < F.try_element_at(F.create_map(*shares), F.col("_lang")) * float(1 << 30) if shares else F.lit(False)
+    spare = F.length("_text") - F.lit(piece_chars)
+    place = (F.pmod(F.shiftrightunsigned("_hash", 20), F.greatest(spare, F.lit(0)) + F.lit(1)) + F.lit(1)).cast("int")
+    piece = F.when(spare > 0, F.substring("_text", place, F.lit(piece_chars))).otherwise(F.col("_text"))
+    few = hashed.where(F.col("_hash").isNotNull() & wanted).select("_lang", "_hash", piece.alias("_text")).dropDuplicates(["_lang", "_hash"])
     first = Window.partitionBy("_lang").orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash")
     sample = few.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows_per_language)
     chosen: dict[str, dict[str, None]] = {}

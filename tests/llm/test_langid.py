@@ -46,3 +46,34 @@ def test_awkward_rows(documents, clashing, empty):
     none = langid.learn(empty, "text", "lang", F.lit(True))
     assert langid.identify(documents, "doc_id", "text", none).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(empty, "doc_id", "text", model).count() == 0
+
+
+def test_languages_of_long_texts_and_of_many_copies_are_learned(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "en", 60), "en") for i in range(60)] + [(100 + i, prose(rng, "fr", 9000), "fr") for i in range(6)]
+    rows += [(200 + i, prose(rng, "de", 60), "de") for i in range(60)] + [(1000 + i, rows[66 - 1][1][:200], "de") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, "text", "lang", F.lit(True), rows_per_language=40, piece_chars=2000)
+    assert set(model.names) == {"en", "fr", "de"} and all(len(d) > 1000 for d in model.dictionaries)
+    test = [(i, prose(rng, lang, 80), lang) for i in range(60) for lang in [("en", "fr", "de")[i % 3]]]
+    found = langid.identify(spark.createDataFrame(test, "doc_id long, text string, lang string"), "doc_id", "text", model)
+    assert sum(r.lang_pred == ("en", "fr", "de")[r.doc_id % 3] for r in found.collect()) >= 58
+
+
+def test_sizes_match_brute_force(spark, documents):
+    """Every block of every text with every dictionary, by a plain loop over the model's parts."""
+    import zstandard
+
+    model = langid.learn(documents, "text", "lang", F.lit(True))
+    parts = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in model.dictionaries]
+    for r in documents.where("length(text) between 10 and 20000").limit(40).collect():
+        data = r.text.lower().encode()
+        sizes = [
+            sum(len(zstandard.ZstdCompressor(dict_data=d, level=model.level, write_content_size=False, write_dict_id=False).compress(data[i : i + model.block])) for i in range(0, len(data), model.block))
+            for d in parts
+        ]
+        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
+        second = min(x for i, x in enumerate(sizes) if i != best)
+        got = langid._Classifier(model).classify(r.text)
+        if got[0] != "und":
+            assert got == (model.names[best], 1.0 - sizes[best] / second)
