@@ -18,6 +18,7 @@ share enough prefix shingles; they are compared set by set.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -30,13 +31,15 @@ from .components import components
 from .kernels import NOT_SPACE, hashes, joined, mix, released, shingle_hashes, texts, word_counts, words
 from .storage import materialize, prepare
 
-SKETCH = 1 << 19  #: counters of the frequency sketch
+SKETCH = (19, 22)  #: least and most counters of the frequency sketch, as powers of two
+BYTES_PER_COUNTER = 64  #: of text, between these
 LONGEST_MATCH = 8  #: the largest l
 CHANCE = 0.05  #: partners that a shingle is taken to have when the sketch shows none
 VERIFY = 0.125  #: cost of comparing one shingle, against one prefix entry
 NEAR = 30  #: per cent below the wanted similarity down to which a class keeps its difference to the root
 FAN_IN = 32
 _BITS = 1 << 24
+_FILL = 8  #: bits per wanted class below which the bitmap is too full to be of use
 
 
 def _sets(part: list[bytes], k: int) -> list[np.ndarray]:
@@ -56,40 +59,63 @@ def _class_id(s: np.ndarray) -> int:
 # -- global order -----------------------------------------------------------
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the least type that holds them, compressed: those of one task are small."""
+    kind = next(x for x in (np.uint8, np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(x).max)
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(memoryview(data)[1:]), {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[data[0]])
+
+
 def _sketch(df: DataFrame, text: str, k: int) -> np.ndarray:
-    """Counts of all shingles of all documents, by hash; a tree of tasks adds them up."""
+    """Counts of all shingles of all documents, by hash; a tree of tasks adds them up.
+
+    There are more counters for more text, up to a size that every worker can hold.
+    """
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n_counters = 1 << min(SKETCH[1], max(SKETCH[0], (size // BYTES_PER_COUNTER).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(n_counters, np.int64)
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
             for _, part in texts(batch.column(0)):
-                sets = _sets(part, k)
-                total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                held += _sets(part, k)
+                n += sum(map(len, held[-len(part) :]))
+                if n > n_counters:
+                    total += np.bincount((np.concatenate(held) & np.uint64(n_counters - 1)).astype(np.int64), minlength=n_counters)
+                    held, n = [], 0
+        if held:
+            total += np.bincount((np.concatenate(held) & np.uint64(n_counters - 1)).astype(np.int64), minlength=n_counters)
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(n_counters, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                total += _unpacked(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
 
     parts = df.select(text).mapInArrow(released(count), "counts binary")
     n = parts.rdd.getNumPartitions()
     while n > 4:
         n = ceil(n / FAN_IN)
         parts = parts.repartition(n).mapInArrow(released(add), "counts binary")
-    total = np.zeros(SKETCH, np.int64)
+    total = np.zeros(n_counters, np.int64)
     for r in parts.collect():
-        total += np.frombuffer(r["counts"], np.int64)
-    return total
+        total += _unpacked(bytes(r["counts"]))
+    return total if total.max() > np.iinfo(np.uint32).max else total.astype(np.uint32)
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[int, int, np.ndarray]:
     """The match length l of a set, how many of its rarest shingles seem to be its own, and its prefix, rare ones first."""
     n = len(s)
-    seen = sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-    rank = (np.minimum(seen, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
+    seen = sketch[(s & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.int64)
+    # Up to 2**40 occurrences; sets are sorted by hash, and a stable sort keeps that order at ties.
+    rank = (seen.astype(np.uint64) << np.uint64(24)) | (s >> np.uint64(40))
     slack = n - -(-percent * n // 100)
     most = min(LONGEST_MATCH, n - slack)
     first = np.argsort(rank, kind="stable")[: slack + most]
@@ -105,7 +131,7 @@ def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tup
 def _prefixes(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     """(id, n, c, l, own, prefix) of every document."""
     sketch = _sketch(df, text, k)
-    noise = float(sketch.sum()) / SKETCH
+    noise = float(sketch.sum(dtype=np.int64)) / len(sketch)
     share = df.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +169,13 @@ def _fetch_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
     """(c, shingles) of the wanted classes, made again from the texts.
 
     A bitmap of fixed size says which texts may be wanted, so that only their sets
-    are shuffled; the join afterwards is exact.
+    are shuffled; the join afterwards is exact.  With so many wanted classes that the
+    bitmap would be full, one text of each class is shuffled instead and the sets are
+    made after the join: no more than the input moves, however many are wanted.
     """
+    wanted = wanted.select("c").distinct()
+    if wanted.count() * _FILL > _BITS:
+        return _sets_after_join(df, text, k, wanted)
     marks = wanted.select(F.pmod(F.col("c"), F.lit(_BITS)).alias("_b")).groupBy(F.shiftright("_b", 5).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b").bitwiseAND(31).cast("int"))).alias("bits")
     )
@@ -169,7 +200,24 @@ def _fetch_sets(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets)], ["c", "shingles"])
 
     found = df.select(text).mapInArrow(released(run), "c long, shingles array<long>")
-    return materialize(found.dropDuplicates(["c"]).join(wanted.select("c").distinct(), "c", "left_semi"), "sets")
+    return materialize(found.dropDuplicates(["c"]).join(wanted, "c", "left_semi"), "sets")
+
+
+def _sets_after_join(df: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in texts(batch.column(0)):
+                ids = pa.array([_class_id(s) for s in _sets(part, k)], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, batch.column(0).slice(first, len(part))], ["c", "text"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in texts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), _lists(_sets(part, k))], ["c", "shingles"])
+
+    named = df.select(F.col(text).alias("text")).mapInArrow(released(name), "c long, text string")
+    few = named.groupBy("c").agg(F.first("text").alias("text")).join(wanted, "c", "left_semi")  # copies go before the shuffle
+    return materialize(few.select("c", "text").mapInArrow(released(make), "c long, shingles array<long>"), "sets")
 
 
 def _linked(shared: Column, n: Column, m: Column, percent: int) -> Column:

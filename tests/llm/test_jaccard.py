@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from lexweave.llm import jaccard
 from lexweave.llm.components import components
 from lexweave.llm.jaccard import near_duplicates
 
@@ -41,6 +43,27 @@ def test_components_are_those_of_all_pairs(documents, rows, k, percent):
     assert got == brute([(i, t) for i, t, _ in rows], k, percent)
 
 
+@pytest.mark.parametrize("size", [(8, 8), (20, 20)])
+def test_sets_by_a_join_and_any_size_of_sketch(documents, rows, monkeypatch, size):
+    monkeypatch.setattr(jaccard, "SKETCH", size)
+    monkeypatch.setattr(jaccard, "_FILL", 1 << 40)
+    got = sorted(map(tuple, near_duplicates(documents, "doc_id", "text", 3, 90).collect()), key=repr)
+    assert got == brute([(i, t) for i, t, _ in rows], 3, 90)
+
+
+def test_sketch_counts_every_shingle(documents, rows):
+    """Against a plain count, and with counts beyond every small type."""
+    sets = jaccard._sets([(t or "").encode() for _, t, _ in rows], 3)
+    total = jaccard._sketch(documents, "text", 3)
+    want = np.zeros(len(total), np.int64)
+    for s in sets:
+        np.add.at(want, (s & np.uint64(len(total) - 1)).astype(np.int64), 1)
+    assert (total == want).all()
+    for most in (1, 300, 70_000, 1 << 33):
+        counts = np.array([0, most, 5], np.int64)
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+
+
 def test_dense_family_of_near_copies(spark):
     """One text copied hundreds of times with zero to six changed words: links exist only through other copies."""
     rng = random.Random(8)
