@@ -199,6 +199,7 @@ SERVICE_NOTE = (
     r"|Қолданушылар\s+назарына!|Пайдаланушылар\s+назарына!)\s*$"
 )
 INSUFFICIENT = "НЕДОСТАТОЧНО"
+MISSING_KZ = "text_kz: [NOT AVAILABLE -- translate Russian legal terms into Kazakh for the 'kz' keyword array. Do NOT return an empty list.]"
 DEFINITIONS_TITLE = "\n--- ПРАВОВЫЕ ОПРЕДЕЛЕНИЯ ---"
 HISTORY_TITLE = "История разговора:"
 ARTICLE_LABEL = "Статья"

@@ -29,12 +29,12 @@ def number_or(value: Column, default: float) -> Column:
 
 
 def distinct_by(items: Column, key) -> Column:
-    """The first of the items with each key, in order; null keys drop out."""
-    def first(xs: Column) -> Column:
-        keys = F.transform(xs, key)
-        return F.filter(xs, lambda x, i: key(x).isNotNull() & (F.array_position(keys, key(x)) == i + 1))
-
-    return bound(items, first)
+    """The first of the items with each key, in order; null keys drop out.  Two sorts, by key and then by place."""
+    placed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+    by_key = F.array_sort(F.filter(placed, lambda p: p["k"].isNotNull()))
+    first = lambda ps: F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, F.greatest(i - 1, F.lit(0)))["k"] != p["k"]))
+    in_order = F.array_sort(F.transform(bound(by_key, first), lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x"))))
+    return F.transform(in_order, lambda p: p["x"])
 
 
 def intent(raw: Column, question: Column) -> Column:

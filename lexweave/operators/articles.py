@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import markdown as M
 from ..functions.text import uuid5
+from ..tables import placed, written
 
 
 def block_rows(files: DataFrame, text: str) -> DataFrame:
@@ -108,35 +111,74 @@ def greedy_batches(
 ) -> DataFrame:
     """(within, order, batch): consecutive rows, cut when a batch has ``max_items`` or would pass ``max_cost``.
 
-    Each cut depends on the one before it, so a group is folded in order.  A group is
-    folded in blocks of ``block`` rows, each of which begins a batch; the default block
-    is far larger than the groups that model calls are made for.
+    Each cut depends on the one before it.  A group is cut into blocks of ``block``
+    rows, which changes nothing: a batch begins within the first ``max_items`` rows of
+    every block, so each block says, for each such beginning, how many batches begin in
+    it and where the first one beyond it does.  Following these tables from block to
+    block tells each where its batches begin.  A row of null cost costs nothing.
     """
-    place = Window.partitionBy(within).orderBy(order)
-    rows = df.select(within, order, cost).withColumn("_b", F.floor((F.row_number().over(place) - 1) / block))
-    items = rows.groupBy(within, "_b").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c")))).alias("_i"))
-    start = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("s"), F.array().cast("array<int>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        over = (state["n"] >= max_items) | ((state["n"] > 0) & (state["s"] + x["c"] > max_cost))
-        b = F.when(over, state["b"] + 1).otherwise(state["b"])
-        return F.struct(
-            b.alias("b"), F.when(over, F.lit(1)).otherwise(state["n"] + 1).alias("n"), F.when(over, x["c"]).otherwise(state["s"] + x["c"]).alias("s"),
-            F.concat(state["out"], F.array(b)).alias("out"),
-        )
-
-    numbered = items.select(within, "_b", F.posexplode(F.arrays_zip(F.col("_i").alias("i"), F.aggregate("_i", start, step, lambda s: s["out"]).alias("b"))).alias("_p", "_x"))
-    local = numbered.select(within, "_b", F.col("_x.i.o").alias(order), F.col("_x.b").alias("_n"))
-    sizes = local.groupBy(within, "_b").agg((F.max("_n") + 1).alias("_k"))
-    ahead = Window.partitionBy(within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select(within, "_b", F.coalesce(F.sum("_k").over(ahead), F.lit(0)).alias("_first"))
-    return local.join(firsts, [within, "_b"]).select(within, order, (F.col("_first") + F.col("_n")).cast("long").alias("batch"))
+    block = max(block, max_items)
+    rows = placed(df.select(within, order, F.coalesce(F.col(cost).cast("long"), F.lit(0).cast("long")).alias("_c")), [within], [order], "_p").withColumn("_p", F.col("_p") - 1)
+    b = F.floor(F.col("_p") / block).cast("long")
+    # The rows after a block that its last batch may still take are given to it as well.
+    seen = F.when((F.col("_p") % block < max_items) & (b > 0), F.array(b, b - 1)).otherwise(F.array(b))
+    dealt = written(rows.withColumn("_b", F.explode(seen)), "blocks")
+    kinds = f"{within} {df.schema[within].dataType.simpleString()}, _b long"
+
+    def table(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        following, n = _following(part, key[-1], block, max_items, max_cost)
+        exits, counts = [0] * max_items, [0] * max_items
+        for entry in range(min(max_items, n)):
+            at = entry
+            while at < n:
+                counts[entry] += 1
+                at = int(following[at])
+            exits[entry] = at - n
+        return pd.DataFrame({within: [key[0]], "_b": [key[1]], "exits": [exits], "counts": [counts]})
+
+    def chain(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        entry, batch, entries, firsts = 0, 0, [], []
+        parts = parts.sort_values("_b")
+        for exits, counts in zip(parts["exits"], parts["counts"], strict=True):
+            entries.append(entry)
+            firsts.append(batch)
+            batch, entry = batch + int(counts[entry]), int(exits[entry])
+        return pd.DataFrame({within: parts[within], "_b": parts["_b"], "_entry": entries, "_first": firsts})
+
+    def number(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        following, n = _following(part, key[-1], block, max_items, max_cost)
+        part = part.sort_values("_p")
+        begins = np.zeros(n, np.int64)
+        at, first = int(part["_entry"].iloc[0]), int(part["_first"].iloc[0])
+        while at < n:
+            begins[at] = 1
+            at = int(following[at])
+        own = part.iloc[:n]
+        return pd.DataFrame({within: own[within], order: own[order], "batch": first - 1 + begins.cumsum()})
+
+    tables = dealt.groupBy(within, "_b").applyInPandas(table, f"{kinds}, exits array<int>, counts array<int>")
+    chained = written(tables, "tables").groupBy(within).applyInPandas(chain, f"{kinds}, _entry long, _first long")
+    other = chained.withColumnsRenamed({within: "_w", "_b": "_n"})
+    joined = dealt.join(other, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_n"))).drop("_w", "_n")
+    out = joined.groupBy(within, "_b").applyInPandas(number, f"{within} {df.schema[within].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, batch long")
+    return out
+
+
+def _following(part: pd.DataFrame, b: int, block: int, max_items: int, max_cost: int) -> tuple[np.ndarray, int]:
+    """For each row of a block, where the batch after one that begins there begins; and how many rows the block has."""
+    place = np.sort(part["_p"].to_numpy()) - b * block
+    cost = part.sort_values("_p")["_c"].to_numpy()
+    n = int((place < block).sum())
+    so_far = np.concatenate(([0], np.cumsum(cost)))
+    # A batch takes its first row whatever that costs, and then as many as fit.
+    fits = np.searchsorted(so_far, so_far[:-1] + max_cost, "right") - 1
+    at = np.arange(len(cost))
+    return np.clip(fits, at + 1, np.minimum(at + max_items, len(cost)))[:n], n
 
 
 def render(article_id: Column, number: Column, title_ru: Column, title_kz: Column, body_ru: Column, body_kz: Column, has_kz: Column) -> Column:
     """One article as it is shown to a model."""
     line = lambda label, c, sep=" ": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label + sep), c))
-    missing = "text_kz: [NOT AVAILABLE -- translate Russian legal terms into Kazakh for the 'kz' keyword array. Do NOT return an empty list.]"
-    kz = F.coalesce(line("text_kz:", body_kz, "\n"), F.when(has_kz == "0", F.lit(missing)))
+    kz = F.coalesce(line("text_kz:", body_kz, "\n"), F.when(has_kz == "0", F.lit(C.MISSING_KZ)))
     parts = F.array(F.lit("### ARTICLE"), F.concat(F.lit("id: "), article_id), F.concat(F.lit("number: "), number), line("title_ru:", title_ru), line("title_kz:", title_kz), line("text_ru:", body_ru, "\n"), kz, F.lit(""))
     return F.array_join(F.array_compact(parts), "\n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import contains_either, short_id
-from .index import small
+from ..tables import small
 
 # -- keyed upserts ------------------------------------------------------------
 
@@ -112,8 +112,8 @@ def neighbours(seeds: DataFrame, edges: DataFrame, limit: int | None = None) ->
     either = kept.select(F.col("source_id").alias("_from"), F.col("target_id").alias("_to")).unionAll(
         kept.where(F.col("source_id") != F.col("target_id")).select(F.col("target_id").alias("_from"), F.col("source_id").alias("_to"))
     )
-    start = small(seeds.select("qid", F.col("id").alias("_from"), F.col("score").alias("_s")))
-    hops = either.join(start, "_from").join(small(seeds.select("qid", F.col("id").alias("_to"))), ["qid", "_to"], "left_anti")
+    start = small(seeds.select("qid", F.col("id").alias("_from"), F.col("score").alias("_s")), "seeds")
+    hops = either.join(start, "_from").join(start.select("qid", F.col("_from").alias("_to")), ["qid", "_to"], "left_anti")
     per_parent = hops.groupBy("qid", "_to", "_from", "_s").agg(F.count(F.lit(1)).alias("_e"))
     found = per_parent.groupBy("qid", F.col("_to").alias("id")).agg(F.sum("_e").alias("edge_count"), F.avg("_s").alias("parent_score"))
     order = Window.partitionBy("qid").orderBy(F.desc("edge_count"), "id")
@@ -121,6 +121,15 @@ def neighbours(seeds: DataFrame, edges: DataFrame, limit: int | None = None) ->
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+GRAM = 3  #: first characters of a text that its keywords are joined on
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(size - 1), F.lit(1))))
+    return F.coalesce(F.transform(places, lambda i: F.substring(text, i, F.lit(size))), F.array().cast("array<string>"))
+
+
 def lookup_definitions(queries: DataFrame, keywords: DataFrame, definitions: DataFrame, candidates: int | None = None, top_k: int | None = None) -> DataFrame:
     """Definitions of keywords that contain a query's text in either language.
 
@@ -130,7 +139,13 @@ def lookup_definitions(queries: DataFrame, keywords: DataFrame, definitions: Dat
     """
     candidates = candidates or C.SETTINGS.definition_candidates
     top_k = top_k or C.SETTINGS.definition_top_k
-    hit = keywords.join(small(queries), contains_either(F.col("text"), F.col("text_ru"), F.col("text_kz")))
+    # What contains a text contains its first characters: a join on those comes before the comparison.
+    beginning = F.lower(F.substring("text", 1, GRAM))
+    asked = small(queries.withColumn("_g", beginning), "asked")
+    sizes = sorted(r["_z"] for r in asked.select(F.length("_g").alias("_z")).distinct().collect())  # 0 to GRAM
+    hay = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("text_ru", "text_kz")]
+    pieces = F.array_distinct(F.flatten(F.array(*[_pieces(h, z) for h in hay for z in sizes]))) if sizes else F.array().cast("array<string>")
+    hit = keywords.withColumn("_g", F.explode(pieces)).join(asked, "_g").where(contains_either(F.col("text"), F.col("text_ru"), F.col("text_kz"))).drop("_g")
     first = Window.partitionBy("qid", "kw").orderBy("text_ru")
     few = hit.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= candidates).drop("_n")
     joined = few.join(definitions, few["text_ru"] == definitions["keyword_ru"], "left")

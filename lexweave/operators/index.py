@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SETTINGS
 from ..functions.text import words
-
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; counted, not assumed."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from ..tables import small, written
 
 @dataclass(frozen=True)
 class Index:
@@ -26,8 +19,11 @@ class Index:
     frequencies: DataFrame  #: (term, df)
     stats: DataFrame  #: one row
 
-    def persist(self) -> Index:
-        return Index(self.postings.persist(), self.frequencies.persist(), self.stats.persist())
+    def written(self) -> Index:
+        """The same index as tables: postings sorted by term, so that a search reads the row groups of its terms."""
+        postings = written(self.postings.repartition("term").sortWithinPartitions("term"), "postings")
+        frequencies = written(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+        return Index(postings, frequencies, written(self.stats, "stats"))
 
 
 def build(docs: DataFrame, key: str, codex: str, tokens: Column) -> Index:
@@ -47,8 +43,9 @@ def search(index: Index, queries: DataFrame, limit: Column | int, filters: DataF
     searched for it.  Returns (qid, kw, id, codex, score, rank), ranked by the score
     rounded to six places, then by id.
     """
-    q = small(queries)
-    terms = index.postings.join(q, "term").join(index.frequencies.join(small(queries.select("term").distinct()), "term"), "term")
+    q = small(queries, "queries")
+    known = small(index.frequencies.join(q.select("term").distinct(), "term"), "known")
+    terms = index.postings.join(q.join(known, "term"), "term")
     n, avgdl = F.col("n"), F.col("avgdl")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -56,7 +53,7 @@ def search(index: Index, queries: DataFrame, limit: Column | int, filters: DataF
     scored = terms.crossJoin(F.broadcast(index.stats)).groupBy("qid", "kw", *extra, "id", "codex").agg(F.round(F.sum(part), 6).alias("score"))
     if filters is not None:
         wanted = filters.select("qid", "codex", F.lit(True).alias("_in"))
-        marked = scored.join(small(wanted), ["qid", "codex"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+        marked = scored.join(small(wanted, "filters"), ["qid", "codex"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
         any_in = F.max("_in").over(Window.partitionBy("qid", "kw"))
         scored = marked.withColumn("_any", any_in).where(F.col("_in") | ~F.col("_any")).drop("_in", "_any")
     order = Window.partitionBy("qid", "kw").orderBy(F.desc("score"), "id")
@@ -87,11 +84,34 @@ def tfidf(docs: DataFrame, key: str, tokens: Column, within: list[str] | None =
     df = counts.groupBy(*within, "term").agg(F.count(F.lit(1)).alias("_df"))
     sizes = held.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
     joined = counts.join(df, [*within, "term"])
-    joined = joined.join(F.broadcast(sizes), within) if within else joined.crossJoin(F.broadcast(sizes))
+    joined = joined.join(small(sizes, "sizes"), within) if within else joined.crossJoin(F.broadcast(sizes))
     score = (1 + F.ln(1 + F.col("_tf") / F.col("_len"))) * (F.ln((F.col("_n") + 1) / (F.col("_df") + 1)) + 1)
     return joined.where(F.length("term") >= min_chars).select(key, *within, "term", score.alias("score"))
 
 
+def tfidf_blend(
+    docs: DataFrame, key: str, tokens: Column, within: str, within_weight: float = SETTINGS.local_weight, overall_weight: float = SETTINGS.global_weight, min_chars: int = SETTINGS.term_min_chars
+) -> DataFrame:
+    """(key, term, score): the weighted sum of TF-IDF within each group and over the corpus.
+
+    Texts are tokenised and counted once; the corpus' document frequencies are sums of
+    the groups'.  Terms shorter than ``min_chars`` are scored with all others and then
+    left out.
+    """
+    held = docs.select(key, within, tokens.alias("_t")).withColumn("_len", F.greatest(F.size("_t"), F.lit(1)))
+    counts = held.select(key, within, "_len", F.explode("_t").alias("term")).groupBy(key, within, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    counts = written(counts, "counts")
+    inner = counts.groupBy(within, "term").agg(F.count(F.lit(1)).alias("_df"))
+    outer = inner.groupBy("term").agg(F.sum("_df").alias("_all"))
+    sizes = docs.groupBy(within).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = small(sizes, "sizes")
+    total = sizes.agg(F.sum("_n").alias("_total"))
+    joined = counts.join(inner.join(outer, "term"), [within, "term"]).join(sizes, within).crossJoin(F.broadcast(total)).where(F.length("term") >= min_chars)
+    tf = 1 + F.ln(1 + F.col("_tf") / F.col("_len"))
+    idf = lambda n, df: F.ln((F.col(n) + 1) / (F.col(df) + 1)) + 1
+    return joined.select(key, "term", (tf * idf("_n", "_df") * within_weight + tf * idf("_total", "_all") * overall_weight).alias("score"))
+
+
 def top_terms(scored: DataFrame, key: str, n: int = SETTINGS.tfidf_top_n, score: str = "score") -> DataFrame:
     """The n best terms of each document, ties by term."""
     order = Window.partitionBy(key).orderBy(F.desc(F.round(score, 6)), "term")
@@ -106,7 +126,7 @@ def question_terms(questions: DataFrame, qid: str, text: str) -> DataFrame:
 def rare_keywords(index: Index, questions: DataFrame, qid: str, text: str, n: int = 5) -> DataFrame:
     """(qid, kw, term, weight): a question's n rarest indexed tokens, the rarest first and heaviest."""
     terms = question_terms(questions, qid, text).drop("kw")
-    known = index.frequencies.join(small(terms), "term")
+    known = index.frequencies.join(small(terms, "terms"), "term")
     order = Window.partitionBy("qid").orderBy("df", "term")
     placed = known.withColumn("kw", F.row_number().over(order) - 1).where(F.col("kw") < n)
     return placed.select("qid", "kw", "term", F.round(F.greatest(F.lit(0.1), 1.0 - 0.15 * F.col("kw")), 6).alias("weight"))

@@ -60,8 +60,6 @@ def structure(merged: DataFrame, strict: bool = False) -> Structure:
 def keyword_table(flat: DataFrame, phrases: DataFrame, key: str = "id", codex: str = "code") -> DataFrame:
     """(key, term, score, rank): fused keywords of articles (key, codex, title, text) with given keyphrases."""
     tokens = F.concat(terms(F.col("text")), F.flatten(F.array_repeat(terms(F.col("title")), 3)))
-    overall = index.tfidf(flat, key, tokens)
-    local = index.tfidf(flat, key, tokens, [codex]).drop(codex)
-    normed = keywords.robust_norm(keywords.blend(local, overall, key), key)
+    normed = keywords.robust_norm(index.tfidf_blend(flat, key, tokens, codex), key)
     cited = flat.select(key, F.posexplode(citations(F.col("text"))).alias("pos", "term"))
     return keywords.fuse(normed, keywords.phrase_words(phrases, key), key, citations=cited)

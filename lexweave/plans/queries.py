@@ -22,6 +22,7 @@ from ..operators import index as I
 from ..operators import keywords as K
 from ..operators import retrieval as R
 from ..operators import vectors as V
+from ..tables import followed, placed, written
 from . import answer as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +66,7 @@ def index(spark: SparkSession, sf_dir: str) -> I.Index:
     """The index of a folder's documents, kept for the session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        _indexes[key] = I.build(documents(spark, sf_dir), "id", "codex", X.words(F.col("body"))).persist()
+        _indexes[key] = I.build(documents(spark, sf_dir), "id", "codex", X.words(F.col("body"))).written()
     return _indexes[key]
 
 
@@ -76,12 +77,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between documents: the next of the source, the next copy, the next of the same beginning."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    following = lambda key: F.lead("doc_id").over(Window.partitionBy(key).orderBy("doc_id"))
-    found = [
-        d.select(F.col("doc_id").alias("source_id"), following(key).alias("target_id"), F.lit(kind).alias("rel_type"))
-        for kind, key in (("EXTENDS", F.col("source")), ("CORRELATED_WITH", F.md5("text")), ("REFERENCES", F.substring("text", 1, 12)))
-    ]
-    return found[0].unionAll(found[1]).unionAll(found[2]).where(F.col("target_id").isNotNull())
+    keys = (("EXTENDS", F.col("source")), ("CORRELATED_WITH", F.md5("text")), ("REFERENCES", F.substring("text", 1, 12)))
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("rel_type"), key.alias("key")) for kind, key in keys])).alias("_e")
+    rows = d.select("doc_id", each).select("_e.rel_type", "_e.key", F.col("doc_id").alias("source_id"))
+    return followed(rows, ["rel_type", "key"], "source_id", "target_id").where(F.col("target_id").isNotNull()).select("source_id", "target_id", "rel_type")
 
 
 def definition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +108,10 @@ def codex_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's text; questions are few and counted before they are broadcast."""
+    """Documents that hold a question's text."""
     d = documents(spark, sf_dir)
-    hit = d.join(I.small(questions(spark, sf_dir)), F.contains("body", F.col("text")))
-    return hit.select("qid", F.col("id").alias("item"), "codex")
+    hit = E.holding(d, "id", "body", questions(spark, sf_dir), "qid", "text")
+    return written(hit.join(d.select("id", "codex"), "id").select("qid", F.col("id").alias("item"), "codex"), "truth")
 
 
 _TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
@@ -253,7 +252,7 @@ def _blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     title = F.regexp_extract_all(F.lower(F.substring("body", 1, 40)), F.lit(C.TERM), F.lit(0))
     tokens = F.concat(F.regexp_extract_all(F.lower("body"), F.lit(C.TERM), F.lit(0)), title, title, title)
-    return K.blend(I.tfidf(d, "id", tokens, ["codex"]), I.tfidf(d, "id", tokens), "id")
+    return I.tfidf_blend(d, "id", tokens, "codex")
 
 
 @query(_TF + "top AS (SELECT id, term, round(s, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY round(s, 6) DESC, term) AS rank FROM blend) SELECT * FROM top WHERE rank <= 10")
@@ -283,17 +282,20 @@ def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- articles ---------------------------------------------------------------------
 
 
-@query("""WITH o AS (SELECT source, lang, doc_id, text, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) % 12 AS number FROM documents WHERE lang IN ('en', 'fr')),
-a AS (SELECT * FROM o WHERE lang = 'en'), b AS (SELECT source, number, max(doc_id) AS doc_id, max_by(text, doc_id) AS text FROM o WHERE lang = 'fr' GROUP BY source, number)
-SELECT coalesce(a.source, b.source) AS codex, coalesce(a.number, b.number)::BIGINT AS number, coalesce(a.doc_id, b.doc_id) AS article_id,
+@query("""WITH o AS (SELECT source, lang, doc_id, text, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS place FROM documents),
+p AS (SELECT *, CASE WHEN lang IN ('en', 'fr') THEN 'en-fr' ELSE 'es-de' END AS pair, place - CASE WHEN place % 10 = 0 THEN 1 ELSE 0 END AS number FROM o),
+a AS (SELECT * FROM p WHERE lang IN ('en', 'es')), b AS (SELECT source, pair, number, max(doc_id) AS doc_id, max_by(text, doc_id) AS text FROM p WHERE lang IN ('fr', 'de') GROUP BY source, pair, number)
+SELECT coalesce(a.source, b.source) AS codex, coalesce(a.pair, b.pair) AS pair, coalesce(a.number, b.number)::BIGINT AS number, coalesce(a.doc_id, b.doc_id) AS article_id,
 CASE WHEN a.doc_id IS NULL THEN 'kz_only' WHEN b.doc_id IS NULL THEN 'ru_only' ELSE 'both' END AS source, length(a.text) AS ru_chars, length(b.text) AS kz_chars
-FROM a FULL JOIN b ON a.source = b.source AND a.number = b.number""")
+FROM a FULL JOIN b ON a.source = b.source AND a.pair = b.pair AND a.number = b.number""")
 def bilingual_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("codex", "lang").orderBy("id")
-    d = documents(spark, sf_dir).where(F.col("lang").isin("en", "fr")).withColumn("number", (F.row_number().over(order) % 12).cast("long"))
-    side = lambda x: d.where(F.col("lang") == x).select("codex", "number", "id", F.col("id").alias("pos"), F.col("body").alias("context"))
-    merged = A.merge_languages(side("en"), side("fr"), "number", ["context"], ["codex"])
-    return merged.select("codex", "number", "article_id", "source", F.length("context.ru").cast("long").alias("ru_chars"), F.length("context.kz").cast("long").alias("kz_chars"))
+    numbered = placed(documents(spark, sf_dir).select("id", "codex", "lang", "body"), ["codex", "lang"], ["id"], "place")
+    # Every tenth article has the number of the one before it, so that the last of a number wins.
+    d = numbered.withColumn("number", F.col("place") - F.when(F.col("place") % 10 == 0, 1).otherwise(0))
+    d = d.withColumn("pair", F.when(F.col("lang").isin("en", "fr"), "en-fr").otherwise("es-de"))
+    side = lambda *x: d.where(F.col("lang").isin(*x)).select("codex", "pair", "number", "id", F.col("id").alias("pos"), F.col("body").alias("context"))
+    merged = A.merge_languages(side("en", "es"), side("fr", "de"), "number", ["context"], ["codex", "pair"])
+    return merged.select("codex", "pair", "number", "article_id", "source", F.length("context.ru").cast("long").alias("ru_chars"), F.length("context.kz").cast("long").alias("kz_chars"))
 
 
 _KIND = "CASE WHEN line LIKE 'The %' THEN 'section' WHEN line LIKE 'Of %' THEN 'chapter' WHEN line LIKE 'In %' THEN 'paragraph' WHEN line LIKE 'T%' THEN 'article' ELSE 'content' END"
@@ -338,13 +340,14 @@ def last_wins_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT a AS source_id, b AS target_id, t, row_number() OVER () AS o FROM (
-SELECT doc_id % 40 AS a, (doc_id * 7) % 40 AS b, CASE doc_id % 3 WHEN 0 THEN 'EXTENDS' WHEN 1 THEN 'WRONG' ELSE 'REFERENCES' END AS t, doc_id FROM documents)),
-d AS (SELECT doc_id % 40 AS source_id, (doc_id * 7) % 40 AS target_id, CASE doc_id % 3 WHEN 0 THEN 'EXTENDS' ELSE 'REFERENCES' END AS rel_type, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'internal' END AS ref FROM documents)
+SELECT doc_id // 3 AS a, (doc_id // 3) * 7 % 1000 AS b, CASE doc_id % 3 WHEN 0 THEN 'EXTENDS' WHEN 1 THEN 'WRONG' ELSE 'REFERENCES' END AS t, doc_id FROM documents)),
+d AS (SELECT doc_id // 3 AS source_id, (doc_id // 3) * 7 % 1000 AS target_id, CASE doc_id % 3 WHEN 0 THEN 'EXTENDS' ELSE 'REFERENCES' END AS rel_type, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'internal' END AS ref FROM documents)
 SELECT source_id, target_id, rel_type, max(doc_id)::VARCHAR AS evidence, max_by(ref, CASE WHEN ref IS NOT NULL THEN doc_id END) AS ref_type FROM d GROUP BY source_id, target_id, rel_type""")
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = documents(spark, sf_dir), F.col("id")
     kind = F.when(i % 3 == 0, "EXTENDS").when(i % 3 == 1, "WRONG").otherwise("REFERENCES")
-    given = d.select((i % 40).alias("source_id"), ((i * 7) % 40).alias("target_id"), kind.alias("rel_type"), i.cast("string").alias("evidence"), F.when(i % 5 == 0, "internal").alias("ref_type"), i.alias("seq"))
+    three = F.floor(i / 3)
+    given = d.select(three.alias("source_id"), ((three * 7) % 1000).alias("target_id"), kind.alias("rel_type"), i.cast("string").alias("evidence"), F.when(i % 5 == 0, "internal").alias("ref_type"), i.alias("seq"))
     return G.upsert_edges(G.typed_edges(given, d), "seq")
 
 
@@ -370,7 +373,7 @@ SELECT DISTINCT n.doc_id AS source_id, t.doc_id AS target_id, n.number FROM n JO
 def structural_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     text = F.concat(F.lit("согласно статье "), i % 40, F.lit(", ст. "), i % 7, F.lit(" и статьях "), i % 30, F.lit("–"), i % 30 + i % 15)
-    d = documents(spark, sf_dir).select("id", "codex", F.row_number().over(Window.partitionBy("codex").orderBy("id")).cast("string").alias("number"), text.alias("body"))
+    d = placed(documents(spark, sf_dir).select("id", "codex", text.alias("body")), ["codex"], ["id"], "number").withColumn("number", F.col("number").cast("string"))
     return legal.reference_edges(legal.references(d, "id", "codex", "body"), d, "id", "codex", "number").select("source_id", "target_id", "number")
 
 

@@ -32,7 +32,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def index(docs):
-    return I.build(docs, "id", "codex", X.words(F.col("body"))).persist()
+    return I.build(docs, "id", "codex", X.words(F.col("body"))).written()
 
 
 def bm25(tf, dl, df, n=5, avgdl=2.0):
