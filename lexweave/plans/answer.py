@@ -12,6 +12,7 @@ from .. import constants as C
 from ..functions import payload
 from ..functions.text import unfence, words
 from ..operators import graph, index, retrieval
+from ..tables import written
 from . import providers
 
 
@@ -58,10 +59,17 @@ def retrieve(corpus: Corpus, keywords: DataFrame, filters: DataFrame | None = No
 
 
 def analyse(questions: DataFrame, make_model: Callable[[], providers.Model] = providers.RuleIntent) -> DataFrame:
-    """(qid, question, intent): a failed or unreadable reply asks for the question itself."""
-    replies = providers.ask(questions, "qid", "question", make_model)
-    joined = questions.select("qid", "question").join(replies, "qid")
-    return joined.select("qid", "question", payload.intent(unfence(F.col("reply")), F.col("question")).alias("intent"))
+    """(qid, question, history, intent): a failed or unreadable reply asks for the question itself.
+
+    ``questions`` has (qid, question) and may have the history of the conversation.
+    The model is asked once for each; its replies are written.
+    """
+    given = questions.select("qid", "question", (F.col("history") if "history" in questions.columns else F.lit(None).cast("string")).alias("history"))
+    codexes = F.lit(", ".join(slug for slug, *_ in C.CODEXES))
+    asked = providers.prompt(providers.INTENT_TASK, codexes=codexes, history=F.col("history"), question=F.col("question"))
+    replies = written(providers.ask(given.withColumn("_p", asked), "qid", "_p", make_model), "intents")
+    joined = given.join(replies, "qid")
+    return joined.select("qid", "question", "history", payload.intent(unfence(F.col("reply")), F.col("question")).alias("intent"))
 
 
 def keyword_rows(intents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,13 +80,18 @@ def keyword_rows(intents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def synthesise(questions: DataFrame, context: DataFrame, make_model: Callable[[], providers.Model] = providers.ExtractiveAnswer) -> DataFrame:
-    """(qid, answer): a normalised answer; without context a fixed one of confidence 0.1."""
-    joined = questions.select("qid").join(context, "qid", "left").withColumn("context_text", F.coalesce("context_text", F.lit("")))
-    asked = providers.ask(joined.where(F.col("context_text") != ""), "qid", "context_text", make_model)
+    """(qid, answer): a normalised answer; without context a fixed one of confidence 0.1.
+
+    ``questions`` has (qid, question, history).  The model sees question, history and
+    context, and is asked once for each; its replies are written.
+    """
+    joined = questions.select("qid", "question", "history").join(context, "qid", "left").withColumn("context_text", F.coalesce("context_text", F.lit("")))
+    prompt = providers.prompt(providers.ANSWER_TASK, history=F.col("history"), question=F.col("question"), context=F.col("context_text"))
+    asked = written(providers.ask(joined.where(F.col("context_text") != "").withColumn("_p", prompt), "qid", "_p", make_model), "answers")
     empty = F.struct(F.lit(C.EMPTY_ANSWER).alias("answer"), F.array().cast("array<struct<article_id:string,codex_prefix:string,number:string,name_ru:string>>").alias("citations"), F.lit(0.1).alias("confidence"))
     failed = empty.withField("confidence", F.lit(0.0))
     made = F.when(F.col("reply").isNull() & F.col("error").isNull(), empty).when(F.col("reply").isNull(), failed).otherwise(payload.answer(unfence(F.col("reply"))))
-    return joined.select("qid").join(asked, "qid", "left").select("qid", made.alias("answer"))
+    return questions.select("qid").join(asked, "qid", "left").select("qid", made.alias("answer"))
 
 
 def answer(corpus: Corpus, questions: DataFrame, make_intent: Callable[[], providers.Model] = providers.RuleIntent, make_answer: Callable[[], providers.Model] = providers.ExtractiveAnswer) -> DataFrame:
@@ -87,12 +100,12 @@ def answer(corpus: Corpus, questions: DataFrame, make_intent: Callable[[], provi
     Off-topic questions get a fixed answer.  An answer of low confidence is made again
     without the codex filter, and the better one stays; the later one at ties.
     """
-    intents = analyse(questions, make_intent)
+    intents = written(analyse(questions, make_intent), "asked")
     rows, filters = keyword_rows(intents)
-    legal = intents.where("intent.is_legal_question")
-    first = synthesise(legal, retrieve(corpus, rows, filters).context, make_answer)
-    low = first.where(F.col("answer.confidence") < C.SETTINGS.confidence_threshold).select("qid")
-    broad = retrieve(corpus, rows.join(low, "qid", "left_semi")).context
+    legal = intents.where("intent.is_legal_question").select("qid", "question", "history")
+    first = written(synthesise(legal, retrieve(corpus, rows, filters).context, make_answer), "first")
+    low = legal.join(first.where(F.col("answer.confidence") < C.SETTINGS.confidence_threshold).select("qid"), "qid", "left_semi")
+    broad = retrieve(corpus, rows.join(low.select("qid"), "qid", "left_semi")).context
     second = synthesise(low, broad, make_answer).withColumnRenamed("answer", "_second")
     both = first.join(second, "qid", "left")
     better = F.coalesce(F.col("_second.confidence") >= F.col("answer.confidence"), F.lit(False))

@@ -39,14 +39,14 @@ def corpus(spark):
 
 class Unsure:
     def __call__(self, prompt):
-        return json.dumps({"answer": "да", "citations": [], "confidence": 0.9 if "labor" in prompt else 0.2})
+        return json.dumps({"answer": "да", "citations": [], "confidence": 0.9 if "labor" in providers.section(prompt, "context") else 0.2})
 
 
 class FilteredIntent:
     def __call__(self, prompt):
-        if prompt == "погода":
+        if providers.section(prompt, "question") == "погода":
             return json.dumps({"is_legal_question": False})
-        if prompt == "сбой":
+        if providers.section(prompt, "question") == "сбой":
             raise RuntimeError("down")
         return json.dumps({"codex_slugs": ["labor"], "keywords": [{"text": "номер7 отпуск1", "weight": 1}]})
 
@@ -90,8 +90,48 @@ def test_retries_splits_and_corrections():
 
 
 def test_judge(spark):
-    cases = spark.createDataFrame([(1, "a b", "a b c"), (2, "x", "a")], "id long, answer string, context string")
-    assert {r.id: r.score for r in providers.judge(cases, "id", "answer", "context").collect()} == {1: 1.0, 2: 0.0}
+    cases = spark.createDataFrame([(1, "a z", "a b", "a b c"), (2, "q", "x", "a")], "id long, question string, answer string, context string")
+    assert {r.id: r.score for r in providers.judge(cases, "id", "question", "answer", "context").collect()} == {1: 1.0, 2: 0.0}
+    assert {r.id: r.score for r in providers.judge(cases, "id", "question", "answer").collect()} == {1: 0.5, 2: 0.0}
+
+
+def test_prompts_hold_question_history_and_context(spark, corpus, tmp_path):
+    """A model that notes what it is asked, once for each question."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Noted:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def __call__(self, prompt):
+            import uuid
+
+            (log / f"{self.kind}-{uuid.uuid4().hex}").write_text(prompt, encoding="utf-8")
+            if self.kind == "intent":
+                return json.dumps({"codex_slugs": ["labor"], "keywords": [{"text": "номер7 отпуск1", "weight": 1}]})
+            return json.dumps({"answer": "да", "citations": [], "confidence": 0.1})
+
+    q = spark.createDataFrame([(1, "вопрос об отпуске", "История: раньше спрошено"), (2, "другой вопрос", None)], "qid long, question string, history string")
+    got = answer.answer(corpus, q, lambda: Noted("intent"), lambda: Noted("answer"))
+    assert {r.qid: r.retried for r in got.collect()} == {1: True, 2: True} and got.count() == 2
+    asked = {kind: [p.read_text(encoding="utf-8") for p in log.glob(f"{kind}-*")] for kind in ("intent", "answer")}
+    assert len(asked["intent"]) == 2 and len(asked["answer"]) == 4  # one retry of each
+    for prompts in asked.values():
+        assert sum("вопрос об отпуске" in providers.section(p, "question") and "раньше спрошено" in providers.section(p, "history") for p in prompts) == len(prompts) // 2
+    assert all("номер7" in providers.section(p, "context") for p in asked["answer"])
+
+
+def test_schema_first_then_plain_json():
+    def strict(prompt):
+        if prompt == "cut":
+            raise providers.Truncated
+        raise ValueError("no schema here")
+
+    model = providers.WithFallback(strict, lambda p: f"plain {p}")
+    assert model("x") == "plain x"
+    with pytest.raises(providers.Truncated):
+        model("cut")
 
 
 def test_ingestion_from_files(spark, tmp_path):
