@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import legal
-from ..operators import articles, graph, index, keywords
+from ..operators import articles, graph, index, keywords, reports
+from ..sources import files
 from ..functions.text import citations, terms
 
 STAGES = ("parse", "merge", "structure", "keywords")
@@ -43,6 +44,26 @@ def merge(parsed: DataFrame) -> DataFrame:
     return articles.merge_languages(side("ru"), side("kz"), "number", fields, ["code"])
 
 
+def parse_folder(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """Parse every Markdown file of a folder into articles at ``out``; returns (code, lang, articles), files without any too."""
+    read = files.markdown(spark, folder)
+    files.write(articles.parse(read, "code", "lang", "text"), out, by=["code", "lang"])
+    made = spark.read.parquet(out).groupBy("code", "lang").agg(F.count(F.lit(1)).alias("articles"))
+    return read.select("code", "lang").distinct().join(made, ["code", "lang"], "left").fillna(0)
+
+
+def merge_folder(spark: SparkSession, parsed: str, out: str) -> DataFrame:
+    """Merge the parsed articles of all codes into JSON at ``out``, a folder per code; returns how they were matched.
+
+    Codes with one language only are left out, as they have no pair.
+    """
+    read = spark.read.parquet(parsed)
+    both, _ = files.pairs(read)
+    merged = merge(read.join(both, "code", "left_semi"))
+    files.write(merged, out, "json", by=["code"])
+    return reports.merge_summary(spark.read.json(out), "code")
+
+
 def structure(merged: DataFrame, strict: bool = False) -> Structure:
     """Meaning, hierarchy and references of merged articles (code, number, article_id, bilingual fields)."""
     flat = merged.select(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.markdown import clean
+from ..functions.text import without_nan
 
 ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "number", "title", "hierarchy", "section", "chapter", "paragraph", "context")])
 DEFINITION = "keyword string, keyword_kz string, relation string, definition_ru string, definition_kz string, language string"
@@ -103,11 +104,35 @@ def single_text_article(files: DataFrame) -> DataFrame:
     return files.select(F.col("code").alias("id"), blank.alias("number"), F.col("code").alias("title_ru"), blank.alias("title_kz"), F.col("text").alias("body_ru"), blank.alias("body_kz"), F.lit("0").alias("has_kz"))
 
 
+def pandoc(content: bytes, command: str = "pandoc") -> str:
+    """Markdown of a DOCX file by the pandoc program, which has to be installed where the workers run."""
+    import subprocess
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=".docx") as f:
+        f.write(content)
+        f.flush()
+        made = subprocess.run([command, "--from=docx", "--to=markdown", "--wrap=none", "--markdown-headings=atx", f.name], capture_output=True, check=True)
+    return made.stdout.decode()
+
+
+def finite(value: Column, kind: T.DataType) -> Column:
+    """The value with null for not-a-number and infinities, at any depth."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return without_nan(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: finite(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[finite(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None) -> None:
-    """Replace a table; Spark's commit makes it whole or leaves it out.  Not-a-number becomes null in JSON."""
+    """Replace a table; Spark's commit makes it whole or leaves it out.  Not-a-number becomes null in JSON, at any depth."""
     if kind == "json":
-        doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-        df = df.withColumns({c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(F.col(c)) for c in doubles})
+        df = df.select(*[finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).format(kind).save(path)
 
@@ -123,6 +148,34 @@ def remaining(todo: DataFrame, spark: SparkSession, path: str, key: str) -> Data
     return todo.join(done, key, "left_anti")
 
 
+def write_unique(df: DataFrame, path: str, keys: list[str], buckets: int = 0) -> None:
+    """Replace a table whose keys are unique and not null; rows that break that are an error and nothing is replaced.
+
+    With ``buckets`` the rows are cut by the keys, so that look-ups read a part.
+    """
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | missing)
+    if found := twice.drop("_n").first():
+        raise ValueError(f"not a unique key: {found.asDict()}")
+    cut = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))) if buckets else df
+    write(cut, path, by=["bucket"] if buckets else None)
+
+
+def clear(spark: SparkSession, path: str) -> int:
+    """Empty the table at ``path``, which keeps its columns; returns how many rows it had."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException:
+        return 0
+    n = held.count()
+    spark.createDataFrame([], held.schema).write.mode("overwrite").parquet(path)
+    return n
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add finished rows to a checkpoint table."""
     df.write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import text as X
 from lexweave.operators import index as I
-from lexweave.plans import answer, ingest, providers, queries
+from lexweave.plans import answer, chat, ingest, providers, queries
 from lexweave.sources import files
 from lexweave.streaming import live
 
@@ -176,6 +176,54 @@ def test_json_sources_and_sinks(spark, tmp_path):
     assert (x.count(), y.count(), z.count()) == (2, 1, 1) and files.alive(spark)
 
 
+def test_drivers_over_folders(spark, tmp_path):
+    (tmp_path / "md").mkdir()
+    for lang, word in (("ru", "Статья {}. Имя"), ("kz", "{}-бап. Аты")):
+        (tmp_path / "md" / f"labor_{lang}.md").write_text("\n\n".join(f"#### {word.format(i)}\n\nтекст" for i in range(1, 3 + (lang == "ru"))), encoding="utf-8")
+    (tmp_path / "md" / "lonely_ru.md").write_text("#### Статья 1. Одна\n\nтекст", encoding="utf-8")
+    (tmp_path / "md" / "blank_ru.md").write_text("ничего", encoding="utf-8")
+    parsed = ingest.parse_folder(spark, str(tmp_path / "md"), str(tmp_path / "parsed"))
+    assert {(r.code, r.lang): r.articles for r in parsed.collect()} == {("labor", "ru"): 3, ("labor", "kz"): 2, ("lonely", "ru"): 1, ("blank", "ru"): 0}
+    merged = ingest.merge_folder(spark, str(tmp_path / "parsed"), str(tmp_path / "merged"))
+    assert [tuple(r) for r in merged.collect()] == [("labor", 2, 1, 0, 3)]
+
+
+def test_tables_with_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    files.write_unique(rows, path, ["k"], buckets=3)
+    assert spark.read.parquet(path).count() == 10
+    for broken in (rows.union(rows), spark.createDataFrame([(None,)], "k long")):
+        with pytest.raises(ValueError, match="not a unique key"):
+            files.write_unique(broken, path, ["k"])
+    assert files.clear(spark, path) == 10 and files.clear(spark, path) == 0 and files.clear(spark, str(tmp_path / "none")) == 0
+    nested = spark.sql("select named_struct('x', double('nan'), 'y', array(1.0D, double('infinity'))) as s, map('a', double('nan')) as m, 'nan' as t")
+    files.write(nested, str(tmp_path / "j"), "json")
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "j")).collect()] == [{"s": {"y": [1.0, None]}, "m": {"a": None}, "t": "nan"}]
+
+
+def test_conversation(spark):
+    from pyspark.sql import Row
+
+    asked = []
+
+    def reply(question, history):
+        asked.append((question, history))
+        if question == "сбой":
+            raise OSError("down")
+        cited = [Row(article_id="", codex_prefix="labor", number="5", name_ru="Отпуск")] * 2 + [Row(article_id="", codex_prefix="x", number="1", name_ru="")]
+        return Row(answer=Row(answer="о" * 300, citations=cited, confidence=0.5), retried=True)
+
+    session = chat.Session()
+    shown = list(chat.talk(["/help", "", "вопрос", "сбой", "второй", "/stats", "/clear", "/stats", "третий", "/quit", "никогда"], reply, session))
+    assert shown[0] == chat.HELP and shown[2] == "error: down" and shown[4:7] == ["2 turns, mean confidence 50%", "cleared", "0 turns, mean confidence 0%"]
+    assert shown[1].split("\n")[1:] == ["[confidence 50% (retried)]", "1. Трудовой кодекс, Статья 5 Отпуск", "2. x, Статья 1"]
+    assert [q for q, _ in asked] == ["вопрос", "сбой", "второй", "третий"] and asked[0][1] == "" and asked[2][1].startswith("История разговора:\nВ1: вопрос\nО1: " + "о" * 250 + "…")
+    for i in range(9):
+        session.add(f"q{i}", "a", 1.0)
+    assert [t[0] for t in session.turns] == [f"q{i}" for i in range(3, 9)]
+
+
 def test_docx_through_a_converter(spark, tmp_path):
     for name in ("a.docx", "~$a.docx", "bad.docx"):
         (tmp_path / name).write_bytes(b"**\xd0\x93\xd0\xbb\xd0\xb0\xd0\xb2\xd0\xb0 1**" if name == "a.docx" else b"\xff")
