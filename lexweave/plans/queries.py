@@ -387,7 +387,8 @@ def sha_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", X.short_id(F.lit("article"), F.col("codex"), F.col("id")).alias("short_id"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT doc_id AS id, sha1(unhex('{X.X500}') || encode('article|' || source || '|' || lang || '|' || doc_id)) AS d FROM documents)
+SELECT id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(d, 17, 1)), 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS uuid FROM h""")
 def uuid5_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("id", X.uuid5(F.lit("article"), F.col("codex"), F.col("lang"), F.col("number")).alias("uuid"))
 
@@ -484,7 +485,10 @@ def rouge_1_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, "qid")
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+w AS (SELECT conv_id, turn, [hash(x) FOR x IN regexp_extract_all(lower(a), '[\p{L}\p{N}_]+')] AS a, [hash(x) FOR x IN regexp_extract_all(lower(b), '[\p{L}\p{N}_]+')] AS b FROM t WHERE b IS NOT NULL),
+l AS (SELECT *, list_reduce([[x] FOR x IN a], lambda row, x: [greatest(row[j + 1], coalesce(list_max([row[k] + 1 FOR k IN range(1, j + 1) IF b[k] = x[1]]), 0)) FOR j IN range(0, len(b) + 1)], [0::UBIGINT FOR j IN range(0, len(b) + 1)])[len(b) + 1]::DOUBLE AS n FROM w)
+SELECT conv_id, turn, round(CASE WHEN n > 0 THEN 2 * (n / len(a)) * (n / len(b)) / (n / len(a) + n / len(b)) ELSE 0 END, 6)::DOUBLE AS rouge_l FROM l""")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     pairs = c.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("answer").isNotNull())

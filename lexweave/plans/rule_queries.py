@@ -23,7 +23,9 @@ from ..operators import retrieval as T
 from ..operators import vectors as V
 from ..sources import files
 from ..tables import folder
-from .queries import documents, query, table
+from . import answer as P
+from . import providers
+from .queries import _BASE, _EDGES, _HITS, _PACKED, _RANKED, corpus, documents, query, questions, table
 
 
 def _q(text: str) -> str:
@@ -547,3 +549,58 @@ def rendered_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(i % 2 == 0, "T").otherwise("")
     shown = A.render(i.cast("string"), (i % 9).cast("string"), title, blank, F.substring("body", 1, 50), F.when(i % 3 == 0, "kz").otherwise(""), F.when(i % 3 == 1, "0").otherwise("1"))
     return documents(spark, sf_dir).select("id", F.md5(shown).alias("shown"))
+
+
+# -- questions to answers, with the offline stand-ins for models ------------------------
+
+_ASKED = r"""asked AS (SELECT qid, term, length(term) AS n, row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, term) - 1 AS kw
+  FROM (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) WHERE length(term) > 3),
+"""
+
+
+@query("WITH " + _ASKED.rstrip(",\n") + """ SELECT item_id AS qid, coalesce(k.n > 0, false) AS is_legal_question, coalesce(keywords, trim(substr(text, 1, 80))) AS keywords, round(coalesce(k.w, 1.0), 6)::DOUBLE AS weight
+FROM benchmark LEFT JOIN (SELECT qid, count(*) AS n, string_agg(term, '|' ORDER BY kw) AS keywords, sum(1 - 0.1 * kw) AS w FROM asked WHERE kw < 6 GROUP BY qid) k ON k.qid = item_id""")
+def intent_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.analyse(questions(spark, sf_dir).withColumnRenamed("text", "question"))
+    weight = F.aggregate("intent.keywords", F.lit(0.0), lambda s, k: s + k["weight"])
+    return found.select("qid", "intent.is_legal_question", F.array_join(F.transform("intent.keywords", lambda k: k["text"]), "|").alias("keywords"), F.round(weight, 6).alias("weight"))
+
+
+@query(_BASE.replace("kws AS (SELECT qid, kw, term, round(greatest(0.1, 1.0 - 0.15 * kw), 6)::DOUBLE AS weight FROM known WHERE kw < 5)", _ASKED + "kws AS (SELECT qid, kw, term, round(1 - 0.1 * kw, 2)::DOUBLE AS weight FROM asked WHERE kw < 6)")
+       + _HITS + _EDGES + _RANKED + _PACKED + """n AS (SELECT qid, count(*) AS n FROM packed GROUP BY qid)
+SELECT b.item_id AS qid, least(coalesce(n, 0), 3)::BIGINT AS n_citations, (CASE WHEN coalesce(n, 0) = 0 THEN 0.1 ELSE 0.6 END)::DOUBLE AS confidence, coalesce(n, 0) = 0 AS retried,
+(SELECT id::VARCHAR FROM packed p WHERE p.qid = b.item_id ORDER BY rank LIMIT 1) AS first_cited FROM benchmark b LEFT JOIN n ON n.qid = b.item_id""")
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = P.answer(corpus(spark, sf_dir), questions(spark, sf_dir).withColumnRenamed("text", "question"))
+    return made.select("qid", F.size("answer.citations").cast("long").alias("n_citations"), "answer.confidence", "retried", F.get("answer.citations", F.lit(0))["number"].alias("first_cited"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations),
+w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(q), '[\p{L}\p{N}_]+')) AS q, list_distinct(regexp_extract_all(lower(substr(a, 1, 2000)), '[\p{L}\p{N}_]+')) AS a FROM t WHERE a IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, a)) / len(q) END, 6)::DOUBLE AS relevance FROM w""")
+def judged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    pairs = c.withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("answer").isNotNull())
+    keyed = pairs.select(F.struct("conv_id", "turn").alias("key"), F.col("text").alias("question"), "answer").withColumn("key", F.to_json("key"))
+    judged = providers.judge(keyed, "key", "question", "answer")
+    key = F.from_json("key", "conv_id long, turn long")
+    return judged.select(key["conv_id"].alias("conv_id"), key["turn"].alias("turn"), F.round("score", 6).alias("relevance"))
+
+
+@query("SELECT trim(n_name) AS keyword_ru, 'd' || n_regionkey AS definition_ru FROM nation WHERE n_nationkey % 5 <> 0")
+def definition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per definition, written and read again; those without a text are rejected."""
+    import uuid
+
+    path = f"{folder(spark)}/definitions-{uuid.uuid4().hex}"
+    text = F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" d"), F.col("n_regionkey").cast("string")))
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit(" "), F.col("n_name")).alias("keyword"), text.alias("definition_ru"), F.col("n_nationkey").alias("file"))
+    rows.write.partitionBy("file").json(path)
+    return files.definitions(spark, path)[0].select("keyword_ru", "definition_ru")
+
+
+@query("SELECT doc_id AS id, 'a' || (doc_id % 3) AS text_ru, CASE WHEN doc_id % 2 = 0 THEN 'b' END AS text_kz FROM documents")
+def zipped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    ru, kz = F.array(F.concat(F.lit("a"), (i % 3).cast("string"))), F.when(i % 2 == 0, F.array(F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return documents(spark, sf_dir).select("id", F.explode(payload.paired(ru, kz)).alias("p")).select("id", "p.text_ru", "p.text_kz")
