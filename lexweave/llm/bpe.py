@@ -46,6 +46,7 @@ SPLIT_RARE = regex.compile(
 )
 _RARE_LEAD = 0xD4  #: UTF-8 lead bytes of U+0500 and above
 CACHE = 250_000  #: pieces, and pairs of tokens, that a worker remembers; then it starts anew
+CACHE_BYTES = 16 << 20  #: and characters in these pieces
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -106,6 +107,7 @@ class Tokenizer(dict):
 
     def _forget(self) -> None:
         self.clear()
+        self.held = 0
         self.piece_ids, self.piece_at = array("i"), array("q", [0])
         for word, i in self.special.items():
             self._remember(word, [i])
@@ -114,6 +116,7 @@ class Tokenizer(dict):
         n = len(self.piece_at) - 1
         self.piece_ids.extend(ids)
         self.piece_at.append(len(self.piece_ids))
+        self.held += len(piece)
         self[piece] = n
         return n
 
@@ -186,7 +189,7 @@ class Tokenizer(dict):
 
     def encode_batch(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all UTF-8 texts in a row, and where each text begins (one more: the end)."""
-        if len(self) > CACHE:
+        if len(self) > CACHE or self.held > CACHE_BYTES:
             self._forget()
         look = self.__getitem__
         pieces = array("q")

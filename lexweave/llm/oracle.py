@@ -19,6 +19,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM r W
 
 _values = lambda pairs: ", ".join(f"('{a}', '{b}')" for a, b in pairs)
 
+#: Notices that go over line breaks are not expressed here; tests compare them with all runs of words.
 OP3 = f"""WITH w AS (SELECT doc_id, {_PLAIN} AS t FROM documents), ph(phrase, label) AS (VALUES {_values(PHRASES)}),
 b AS (SELECT doc_id, i - 1 AS i, label FROM (SELECT doc_id, t, string_split(phrase, ' ') AS p, label, unnest(generate_series(1, len(t) - len(string_split(phrase, ' ')) + 1)) AS i FROM w, ph) WHERE t[i:i + len(p) - 1] = p),
 tm(template, label) AS (VALUES {_values(TEMPLATES)}),
