@@ -26,9 +26,14 @@ from lexweave.llm.queries import tokenizer_spec
 from lexweave.llm.storage import id_remainder, materialize, prepare, table, with_row, without_rows
 
 
+#: Temperature of the draw: what filters wants less noise than what samples.  With it a text of LENGTH n-grams weighs as
+#: much against the noise as its mean log ratio a hundred times.
+SHARPNESS = ratio.LENGTH / 100
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(prepare(spark), sf_dir, "labels")
-    sampler, _ = ratio.resample(docs, "doc_id", "text", ratio.trusted_labels(labels))
+    sampler, _ = ratio.resample(docs, "doc_id", "text", ratio.trusted_labels(labels), temperature=SHARPNESS, separate=True)
     return ratio.keep_drawn(docs, "doc_id", "text", sampler)
 
 
