@@ -51,3 +51,24 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(gene
 it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len({_PLAIN})::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id"""
+
+_CRC = """poly AS (SELECT 0 AS step, i::BIGINT AS i, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT step + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM poly WHERE step < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE step = 8)"""
+
+#: The columns of op4 that do not depend on the trained model.
+BASE4 = f"""WITH RECURSIVE {_CRC},
+d AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, ''))), '..')]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) % 7 = 2 AS held_out FROM documents, tab),
+w AS (SELECT row_number() OVER () AS r, doc_id, held_out, list_append({_SPACED}, ' ') AS t FROM d),
+e AS (SELECT r, doc_id, held_out, unnest(t) AS word FROM w), c AS (SELECT word, count(*) AS c FROM e WHERE NOT held_out GROUP BY word), s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT e.doc_id, e.held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1))), 3) AS base_score FROM e LEFT JOIN c USING (word), s GROUP BY e.r, e.doc_id, e.held_out"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: The columns of op5 that do not depend on the trained model.
+BASE5 = f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS t FROM documents),
+g AS (SELECT r, i, t[i:i + 2] AS g FROM (SELECT r, t, unnest(generate_series(1, len(t) - 2)) AS i FROM w)),
+m AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+p AS (SELECT r, count(DISTINCT i + k) AS n FROM m, range(3) k(k) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r)
+SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN t]), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(t) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(t) AS base_failed FROM w LEFT JOIN p USING (r) LEFT JOIN l USING (r)"""

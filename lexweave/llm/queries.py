@@ -74,6 +74,17 @@ def op10_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 0).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def scoring_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op4 that SQL can express."""
+    found = op4_attention_scoring(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op5 that SQL can express."""
+    return op5_ratio_quality_rules(spark, sf_dir).select("doc_id", *ratio.RULES, "base_failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jump_sharding": op6_jump_sharding,
     "op1_adaptive_prefix_jaccard": op1_adaptive_prefix_jaccard,
@@ -85,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
     "op10_compression_langid": op10_compression_langid,
     "op7_backtracking_bpe": op7_backtracking_bpe,
+    "scoring_base_columns": scoring_base_columns,
+    "quality_base_columns": quality_base_columns,
 }
 
 #: The others have no SQL equivalent (trained models, parsers, compressors) and are tested against brute force.
@@ -93,4 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": oracle.OP3,
     "op6_jump_sharding": oracle.OP6,
     "op9_winnowing_decontamination": oracle.OP9,
+    "scoring_base_columns": oracle.BASE4,
+    "quality_base_columns": oracle.BASE5,
 }
