@@ -14,6 +14,12 @@ class that is near its root but not linked is compared with other classes of the
 root through what they differ by: it can only be linked to a class with which it
 shares more than half of that.  What remains are classes of different roots that
 share enough prefix shingles; they are compared set by set.
+
+In a large corpus the sketch's counters hold many shingles each, and one that some
+thousands of classes share looks as rare as any.  Shingles that turn out to be in many
+prefixes though the sketch did not show it are therefore counted as what they are,
+and all prefixes are chosen once more; the order stays the same for every document,
+so no pair is lost.
 """
 
 from __future__ import annotations
@@ -24,12 +30,13 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import NOT_SPACE, hashes, joined, mix, released, shingle_hashes, texts, word_counts, words
-from .storage import materialize, prepare
+from .storage import materialize, prepare, remove, written
 
 SKETCH = (19, 22)  #: least and most counters of the frequency sketch, as powers of two
 BYTES_PER_COUNTER = 64  #: of text, between these
@@ -38,6 +45,9 @@ CHANCE = 0.05  #: partners that a shingle is taken to have when the sketch shows
 VERIFY = 0.125  #: cost of comparing one shingle, against one prefix entry
 NEAR = 30  #: per cent below the wanted similarity down to which a class keeps its difference to the root
 FAN_IN = 32
+HEAVY = 1000  #: classes with a shingle in their prefixes from which it is ordered by that number, if the sketch cannot tell it from noise
+LOUD = 4  #: times the mean counter from which a counter tells a frequent shingle
+MOST_HEAVY = 1 << 20  #: of these, the heaviest, that workers are given
 _BITS = 1 << 24
 _FILL = 8  #: bits per wanted class below which the bitmap is too full to be of use
 
@@ -110,16 +120,26 @@ def _sketch(df: DataFrame, text: str, k: int) -> np.ndarray:
     return total if total.max() > np.iinfo(np.uint32).max else total.astype(np.uint32)
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[int, int, np.ndarray]:
+Heavy = tuple[np.ndarray, np.ndarray]  # hashes, sorted, and in how many prefixes they are
+_NONE: Heavy = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int, heavy: Heavy = _NONE) -> tuple[int, int, np.ndarray]:
     """The match length l of a set, how many of its rarest shingles seem to be its own, and its prefix, rare ones first."""
     n = len(s)
     seen = sketch[(s & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.int64)
+    expected = np.maximum(seen - 1 - noise, 0)
+    if len(heavy[0]):
+        at = np.minimum(np.searchsorted(heavy[0], s), len(heavy[0]) - 1)
+        known = heavy[0][at] == s
+        expected[known] = heavy[1][at[known]]
+        seen[known] = np.maximum(seen[known], int(LOUD * noise) + heavy[1][at[known]])
     # Up to 2**40 occurrences; sets are sorted by hash, and a stable sort keeps that order at ties.
     rank = (seen.astype(np.uint64) << np.uint64(24)) | (s >> np.uint64(40))
     slack = n - -(-percent * n // 100)
     most = min(LONGEST_MATCH, n - slack)
     first = np.argsort(rank, kind="stable")[: slack + most]
-    partners = np.cumsum(np.maximum(seen[first] - 1 - noise, 0) + CHANCE)
+    partners = np.cumsum(expected[first] + CHANCE)
     lengths = np.arange(1, most + 1)
     met = partners[slack : slack + most]
     cost = slack + lengths + met * (1 + VERIFY * n / lengths)
@@ -128,18 +148,48 @@ def prefix(s: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tup
     return best, own, s[first[: slack + best]]
 
 
-def _prefixes(df: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(id, n, c, l, own, prefix) of every document."""
+def _prefixes(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, c, l, own, prefix) of every document; and (token, m) of the shingles in the prefixes of several classes."""
     sketch = _sketch(df, text, k)
     noise = float(sketch.sum(dtype=np.int64)) / len(sketch)
     share = df.sparkSession.sparkContext.broadcast(sketch)
+    made, path = written(_chosen(df, key, text, k, percent, share, noise, _NONE), "prefixes")
+    several, counted = written(_several(made), "several")
+    heavy = _unheard(several, sketch, noise)
+    if not len(heavy[0]):
+        return made, several
+    again = materialize(_chosen(df, key, text, k, percent, share, noise, heavy), "prefixes")
+    for old in (path, counted):
+        remove(df.sparkSession, old)
+    return again, materialize(_several(again), "several")
+
+
+def _classes(made: DataFrame) -> DataFrame:
+    return made.where(F.col("n") > 0).groupBy("c").agg(F.first("prefix").alias("prefix"))
+
+
+def _several(made: DataFrame) -> DataFrame:
+    return _classes(made).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+
+
+def _unheard(several: DataFrame, sketch: np.ndarray, noise: float) -> Heavy:
+    """Shingles in the prefixes of many classes that the sketch cannot tell from noise."""
+    found = several.where(F.col("m") >= HEAVY).orderBy(F.desc("m"), "token").limit(MOST_HEAVY).toArrow()
+    h, m = found["token"].to_numpy().view(np.uint64), found["m"].to_numpy()
+    quiet = sketch[(h & np.uint64(len(sketch) - 1)).astype(np.int64)] < LOUD * noise
+    order = np.argsort(h[quiet])
+    return h[quiet][order], m[quiet][order]
+
+
+def _chosen(df: DataFrame, key: str, text: str, k: int, percent: int, share: Broadcast, noise: float, heavy: Heavy) -> DataFrame:
+    listed = df.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = share.value
+        sketch, heavy = share.value, listed.value
         for batch in batches:
             for first, part in texts(batch.column(1)):
                 sets = _sets(part, k)
-                found = [prefix(s, sketch, noise, percent) if len(s) else (0, 0, s) for s in sets]
+                found = [prefix(s, sketch, noise, percent, heavy) if len(s) else (0, 0, s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(part)),
@@ -227,7 +277,7 @@ def _linked(shared: Column, n: Column, m: Column, percent: int) -> Column:
 # -- the join ---------------------------------------------------------------
 
 
-def _live(classes: DataFrame, facts: DataFrame) -> DataFrame:
+def _live(classes: DataFrame, several: DataFrame, facts: DataFrame) -> DataFrame:
     """(token, c, n, l, first): prefix entries whose shingle several classes have, with the most central such class.
 
     Central is what has the fewest shingles of its own; among near copies that is the
@@ -235,8 +285,7 @@ def _live(classes: DataFrame, facts: DataFrame) -> DataFrame:
     are shuffled as bare pairs; facts (c, n, l, own) join the few that are left.
     """
     entries = classes.select("c", F.explode("prefix").alias("token"))
-    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > 1).select("token")
-    live = materialize(entries.join(several, "token").select("token", "c"), "entries").join(facts, "c")
+    live = materialize(entries.join(several.select("token"), "token").select("token", "c"), "entries").join(facts, "c")
     first = live.groupBy("token").agg(F.min(F.struct("own", "c", "n", "l")).alias("first"))
     return materialize(live.join(first, "token").drop("own"), "live")
 
@@ -274,10 +323,10 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
     link between classes that no other links connect is among the pairs.
     """
     prepare(df.sparkSession)
-    every = materialize(_prefixes(df, key, text, k, percent), "prefixes")
+    every, several = _prefixes(df, key, text, k, percent)
     members = every.select("id", "n", "c")
     full = every.where(F.col("n") > 0)
-    live = _live(full.groupBy("c").agg(F.first("prefix").alias("prefix")), full.select("c", "n", "l", "own").distinct())
+    live = _live(_classes(every), several, full.select("c", "n", "l", "own").distinct())
 
     # One exact comparison of each class with its root.
     roots = _roots(live, percent)

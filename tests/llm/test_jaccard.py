@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.llm import jaccard
 from lexweave.llm.components import components
@@ -51,6 +52,24 @@ def test_sets_by_a_join_and_any_size_of_sketch(documents, rows, monkeypatch, siz
     assert got == brute([(i, t) for i, t, _ in rows], 3, 90)
 
 
+def test_shingles_that_the_sketch_does_not_show(spark, monkeypatch):
+    """Sixteen counters, and a passage that many texts share: it is found to be frequent and leaves the prefixes."""
+    rng = random.Random(12)
+    passage = prose(rng, "en", 30)
+    rows = [(i, f"{passage} {prose(rng, 'fr', 60)} tail{i}") for i in range(60)]
+    rows += [(100 + i, rows[i][1].replace(f"tail{i}", "other")) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SKETCH", (4, 4))
+    monkeypatch.setattr(jaccard, "HEAVY", 10)
+    shared = jaccard._sets([passage.encode()], 3)[0].view(np.int64).tolist()
+    entries = lambda some: some.selectExpr("explode(prefix) as t").where(F.col("t").isin(shared)).count()
+    second = entries(jaccard._prefixes(df, "doc_id", "text", 3, 90)[0])
+    got = sorted(map(tuple, near_duplicates(df, "doc_id", "text", 3, 90).collect()), key=repr)
+    monkeypatch.setattr(jaccard, "HEAVY", 1 << 40)
+    assert second * 4 < entries(jaccard._prefixes(df, "doc_id", "text", 3, 90)[0])
+    assert got == brute(rows, 3, 90)
+
+
 def test_sketch_counts_every_shingle(documents, rows):
     """Against a plain count, and with counts beyond every small type."""
     sets = jaccard._sets([(t or "").encode() for _, t, _ in rows], 3)
