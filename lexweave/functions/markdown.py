@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .text import bound
 
 NBSP = "\u00a0"
 
@@ -46,16 +47,16 @@ def _lines(text: Column) -> Column:
 
 def without_indent(text: Column) -> Column:
     """Lines without leading blanks, but for tables and what stands between fences."""
-    start = F.struct(F.lit(False).alias("fence"), F.array().cast("array<string>").alias("out"))
+    parsed = F.transform(_lines(text), lambda line, i: F.struct(line.alias("line"), F.regexp_replace(line, "^[ \\t\u00a0]+", "").alias("bare"), i.alias("i")))
+    turns = lambda x: x["bare"].startswith("```") | x["bare"].startswith("~~~")
 
-    def step(state: Column, line: Column) -> Column:
-        bare = F.regexp_replace(line, "^[ \\t\u00a0]+", "")
-        turns = bare.startswith("```") | bare.startswith("~~~")
-        fence = F.when(turns, ~state["fence"]).otherwise(state["fence"])
-        kept = F.when(~fence & ~bare.startswith("|"), bare).otherwise(line)
-        return F.struct(fence.alias("fence"), F.concat(state["out"], F.array(kept)).alias("out"))
+    def stripped(p: Column) -> Column:
+        fences = p["fences"]
+        inside = lambda x: F.size(F.filter(fences, lambda f: f <= x["i"])) % 2 == 1
+        return F.transform(p["lines"], lambda x: F.when(x["bare"].startswith("|") | inside(x), x["line"]).otherwise(x["bare"]))
 
-    return F.aggregate(_lines(text), start, step, lambda s: F.array_join(s["out"], "\n"))
+    with_fences = bound(parsed, lambda xs: F.struct(xs.alias("lines"), F.transform(F.filter(xs, turns), lambda x: x["i"]).alias("fences")))
+    return F.array_join(bound(with_fences, stripped), "\n")
 
 
 def quoted_footnotes(text: Column) -> Column:
@@ -67,39 +68,47 @@ def quoted_notes(text: Column) -> Column:
 
 
 def _level_of(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike("(?iuU)" + pattern), F.lit(level)) for pattern, level in C.HEADINGS])
+    known = "|".join(f"(?:{pattern})" for pattern, _ in C.HEADINGS)  # most bold lines are none of them
+    return F.when(text.rlike("(?iuU)" + known), F.coalesce(*[F.when(text.rlike("(?iuU)" + pattern), F.lit(level)) for pattern, level in C.HEADINGS]))
 
 
 def heading_level(text: Column) -> Column:
     """Level of a bold line's text: as it is, without leading quotes, or without a leading number; else null."""
-    unquoted = F.trim(F.regexp_replace(text, "(?U)" + C.LEADING_QUOTES, ""))
-    base = F.when(unquoted == "", text).otherwise(unquoted)
-    unnumbered = F.trim(F.regexp_replace(base, "(?U)" + C.LEADING_NUMBER, ""))
-    return F.coalesce(_level_of(text), F.when(unquoted != text, _level_of(unquoted)), F.when(unnumbered != base, _level_of(unnumbered)))
+    strip = lambda t, pattern: F.trim(F.regexp_replace(t, "(?U)" + pattern, ""))
+
+    def unnumbered(base: Column) -> Column:
+        return bound(F.struct(base.alias("a"), strip(base, C.LEADING_NUMBER).alias("b")), lambda p: F.when(p["b"] != p["a"], _level_of(p["b"])))
+
+    def level(p: Column) -> Column:
+        base = F.when(p["u"] == "", p["t"]).otherwise(p["u"])
+        return F.coalesce(_level_of(p["t"]), F.when(p["u"] != p["t"], _level_of(p["u"])), unnumbered(base))
+
+    return bound(F.struct(text.alias("t"), strip(text, C.LEADING_QUOTES).alias("u")), level)
+
+
+#: Characters that no text may hold, to mark headings, bold lines, and where a bold line's own text begins.
+_HEAD, _BOLD, _LINE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def headings_of_bold_lines(text: Column) -> Column:
-    """Bold lines of a heading's form become headings; an unformed bold line right after one joins it."""
+    """Bold lines of a heading's form become headings; unformed bold lines after one, with only blanks between, join it.
+
+    Lines are marked, and one pattern that goes on from its last match joins what
+    follows a heading, so the time is linear in the text.
+    """
     bold = r"^\*\*(.+?)\*\*\r?\s*$"
-    start = F.struct(F.lit(0).alias("head"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, line: Column) -> Column:
-        content = F.trim(F.regexp_extract(line, bold, 1))
-        is_bold = line.rlike(bold)
-        level = F.when(is_bold, heading_level(content))
-        out, head = state["out"], state["head"]  # head: place of the heading that can still grow, from 1
-        between = F.slice(out, head + 1, F.size(out))
-        grows = is_bold & level.isNull() & (head > 0) & F.forall(between, lambda x: F.trim(x) == "")
-        grown = F.concat(F.slice(out, F.lit(1), head - 1), F.array(F.concat(F.element_at(out, F.greatest(head, F.lit(1))), F.lit(" "), content)))
-        plain = F.concat(out, F.array(line))
-        return (
-            F.when(level.isNotNull(), F.struct((F.size(out) + 1).alias("head"), F.concat(out, F.array(F.concat(F.repeat(F.lit("#"), level), F.lit(" "), content))).alias("out")))
-            .when(grows, F.struct(head.alias("head"), grown.alias("out")))
-            .when(~is_bold & (F.trim(line) == ""), F.struct(head.alias("head"), plain.alias("out")))
-            .otherwise(F.struct(F.lit(0).alias("head"), plain.alias("out")))
-        )
-
-    return F.aggregate(_lines(text), start, step, lambda s: F.array_join(s["out"], "\n"))
+
+    def marked(x: Column) -> Column:
+        heading = F.concat(F.lit(_HEAD), F.repeat(F.lit("#"), x["level"]), F.lit(" "), x["content"])
+        return F.when(x["level"].isNotNull(), heading).when(x["bold"], F.concat(F.lit(_BOLD), x["content"], F.lit(_LINE), x["line"])).otherwise(x["line"])
+
+    def parsed(line: Column) -> Column:
+        is_bold, content = line.rlike(bold), F.trim(F.regexp_extract(line, bold, 1))
+        return F.struct(line.alias("line"), is_bold.alias("bold"), F.when(is_bold, content).alias("content"), F.when(is_bold, bound(content, heading_level)).alias("level"))
+
+    lines = F.array_join(F.transform(_lines(text), lambda line: bound(parsed(line), marked)), "\n")
+    joined = F.regexp_replace(lines, rf"(?mdU)(^{_HEAD}[^\n]*|(?!^)\G)(?:\n[^\S\n]*)*\n{_BOLD}([^\n{_LINE}]*){_LINE}[^\n]*", "$1 $2")
+    return F.regexp_replace(joined, rf"(?md)^(?:{_HEAD}|{_BOLD}[^\n{_LINE}]*{_LINE})", "")
 
 
 def joined_soft_breaks(text: Column) -> Column:
@@ -160,24 +169,11 @@ def classify(line: Column, strict: bool = False) -> Column:
 
 def blocks(text: Column) -> Column:
     """Blocks of a text: continuation lines joined, blank lines as borders, tables as they are, else one line each."""
-    lines = _lines(F.translate(line_endings(F.coalesce(text, F.lit(""))), NBSP, " "))
-    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
-    numbered = F.zip_with(lines, F.concat(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), F.array(F.lit(None).cast("string"))), lambda a, b: F.struct(a.alias("now"), b.alias("next")))
-
-    def step(state: Column, pair: Column) -> Column:
-        line = F.regexp_replace(pair["now"], r"(?U)\s+$", "")
-        following = F.trim(pair["next"])
-        goes_on = F.regexp_replace(following, r"[*_`#]", "").rlike(r"^\p{Ll}")
-        broken = line.endswith("\\") & pair["next"].isNotNull()
-        cut = F.regexp_replace(F.regexp_replace(line, r"\\$", ""), r"(?U)\s+$", "")
-        out = state["out"]
-        return (
-            F.when(state["skip"], F.struct(F.lit(False).alias("skip"), out.alias("out")))
-            .when(broken & goes_on, F.struct(F.lit(True).alias("skip"), F.concat(out, F.array(F.concat(cut, F.lit(" "), following))).alias("out")))
-            .when(broken, F.struct(F.lit(False).alias("skip"), F.concat(out, F.array(cut, F.lit(""))).alias("out")))
-            .otherwise(F.struct(F.lit(False).alias("skip"), F.concat(out, F.array(line)).alias("out")))
-        )
-
-    merged = F.aggregate(numbered, start, step, lambda s: F.array_join(s["out"], "\n"))
+    whole = F.translate(line_endings(F.coalesce(text, F.lit(""))), NBSP, " ")
+    # A line that ends in a backslash takes the next one if that begins in lower case, and each is taken once, as matches of
+    # a pattern are; what is joined is marked, so that it is not cut again.
+    joined = F.regexp_replace(whole, r"(?mdU)^([^\n]*?)[^\S\n]*\\[^\S\n]*\n *([*_`#]*\p{Ll}[^\n]*?) *$", f"$1 $2{_LINE}")
+    parted = F.regexp_replace(joined, r"(?mdU)^([^\n]*?)[^\S\n]*\\[^\S\n]*(?=\n)", "$1\n")
+    merged = F.translate(F.regexp_replace(parted, r"(?mdU)[^\S\n]+$", ""), _LINE, "")
     cut = F.filter(F.transform(F.split(merged, "\n\n", -1), lambda b: F.regexp_replace(b, r"(?U)^\s+|\s+$", "")), lambda b: b != "")
     return F.transform(cut, lambda b: F.when(b.rlike(r"(?m)^\s*\|"), b).otherwise(F.regexp_replace(b, r"(?U)\s*\n\s*", " ")))
