@@ -88,18 +88,10 @@ def _sketch(df: DataFrame, text: str, k: int) -> np.ndarray:
     n_counters = 1 << min(SKETCH[1], max(SKETCH[0], (size // BYTES_PER_COUNTER).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_counters, np.int64)
-        held: list[np.ndarray] = []
-        n = 0
+        total = np.zeros(n_counters, np.uint32)  # counted in place: no task has 2**32 shingles, and a worker has little room
         for batch in batches:
             for _, part in texts(batch.column(0)):
-                held += _sets(part, k)
-                n += sum(map(len, held[-len(part) :]))
-                if n > n_counters:
-                    total += np.bincount((np.concatenate(held) & np.uint64(n_counters - 1)).astype(np.int64), minlength=n_counters)
-                    held, n = [], 0
-        if held:
-            total += np.bincount((np.concatenate(held) & np.uint64(n_counters - 1)).astype(np.int64), minlength=n_counters)
+                np.add.at(total, (np.concatenate(_sets(part, k)) & np.uint64(n_counters - 1)).astype(np.intp), np.uint32(1))
         yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
