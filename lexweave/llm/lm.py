@@ -4,8 +4,8 @@ Tokens of a text are its words, lower-cased in A-Z, and one end.  Each word is c
 into subword ids of a public vocabulary.  The model is one layer of masked
 attention over classes of ids: it predicts the class of the next id from the
 classes before it, and a table gives the id within its class.  Classes and tables
-come from counts over all training texts, the attention weights from a share of
-their windows: counts and weights are rows of fixed size that a tree of tasks adds.
+come from counts over all training texts, and the attention weights from all their
+windows: counts and weights are rows of fixed size that a tree of tasks adds.
 
 What a layer of fixed size cannot hold is remembered beside it: the probability of
 a word is a fixed mixture of what attention gives its ids and of the word's share
@@ -40,14 +40,15 @@ WINDOW = 32  #: ids that attention sees at once
 OVERLAP = 8
 SHRINK = 10.0  #: how many counts the share of an id in its class weighs against counts after one class
 STRIDE = WINDOW - OVERLAP
-WIDTH = 8  #: of queries and keys
+WIDTH = 8  #: of queries, keys and values
 CLASSES = 128
 COMMON = 4096  #: most frequent ids, which have classes and shares of their own
 NEAR = 256  #: of them, those that are counted as neighbours
-SHARE = 1 / 32  #: of the training texts' windows that the attention weights are fitted on
-WARM = 51_200  #: windows that the driver fits first weights on; a smaller input gives all it has
-ROUNDS = 2  #: in which tasks improve the weights on all windows of the share
-DEALT = 12_800  #: windows of a task in such a round
+WARM = 51_200  #: windows up to which the driver fits the attention weights, going through them until it has seen so many
+SHARE = 1 / 16  #: of the distinct texts of a larger input, those of the first round
+SECOND = 1 / 3  #: of the rest, those of the second round; the third takes all others
+RATES = (0.02, 0.01, 0.005)  #: of the rounds
+DEALT = 100_000  #: windows of a task in a round
 STEP = 64  #: windows of one step
 ATTENTION = 0.5  #: share of attention in the mixture with the corpus' word counts
 FREQUENT = 1 << 19  #: words whose counts every worker has
@@ -147,9 +148,10 @@ class AttentionModel:
     """Class of each id, log10 share of each id in its class, and the attention layer by class.
 
     place numbers the frequent ids (-1 for others), whose shares also depend on the
-    class before them: after has a row per class.  query and key have one row per class, value and skip one row per class in
-    logits; near is what distance adds to the attention score, masked ahead.  starts marks the ids that open a word; sums
-    has ones beside their share of each class, and only the last class has both kinds.
+    class before them: after has a row per class.  query, key and left have one row per class, right brings a row of left,
+    or a mean of rows, to logits, and skip has one row per class in logits; near is what distance adds to the attention
+    score, masked ahead.  starts marks the ids that open a word; sums has ones beside their share of each class, and only
+    the last class has both kinds.
     """
 
     class_of: np.ndarray
@@ -158,24 +160,31 @@ class AttentionModel:
     after: np.ndarray
     query: np.ndarray
     key: np.ndarray
-    value: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
     skip: np.ndarray
     near: np.ndarray
     starts: np.ndarray
     sums: np.ndarray
 
+    @property
+    def value(self) -> np.ndarray:
+        """What each class, attended to, adds to the logits."""
+        return self.left @ self.right
+
     def log10(self, seen: np.ndarray, following: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each following class but the first ``skip``, for windows of classes seen; also that a word opens."""
         asking = seen[:, skip:]
         score = np.take(self.query, asking, 0) @ np.take(self.key, seen, 0).transpose(0, 2, 1)
         score += self.near[skip:]
         np.exp(score, out=score)
-        score /= score.sum(-1, keepdims=True)
-        out = score @ np.take(self.value, seen, 0)
-        out += np.take(self.skip, asking, 0)
-        chosen = np.take_along_axis(out, following[:, skip:, None], 2)[..., 0]
+        mean = score @ np.take(self.left, seen, 0)
+        mean /= (score @ np.ones(WINDOW, np.float32))[..., None]
+        out = mean.reshape(-1, WIDTH) @ self.right
+        out += np.take(self.skip, asking.ravel(), 0)
+        chosen = out[np.arange(len(out)), following[:, skip:].ravel()].reshape(asking.shape)
         np.exp(out, out=out)
-        sums = np.log(out.reshape(-1, CLASSES) @ self.sums).reshape(*asking.shape, 2)
+        sums = np.log(out @ self.sums).reshape(*asking.shape, 2)
         return (chosen - sums[..., 0]) * _LOG10E, (sums[..., 1] - sums[..., 0]) * _LOG10E
 
     def each(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,20 +291,17 @@ def _classes(counts: np.ndarray, common: np.ndarray, around: np.ndarray, starts:
 
 
 def _follows(ids: np.ndarray, at: np.ndarray, class_of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """How often each of n frequent ids comes after each class."""
-    previous = np.roll(class_of[ids], 1)
+    """How often each of n frequent ids comes after each class; then how often each class does."""
+    classes = class_of[ids]
+    previous = np.roll(classes, 1)
     previous[at[:-1]] = 0
     number = place[ids]
     known = number >= 0
-    return np.bincount(previous[known] * n + number[known], minlength=CLASSES * n)
-
+    return np.append(np.bincount(previous[known] * n + number[known], minlength=CLASSES * n), np.bincount(previous * CLASSES + classes, minlength=CLASSES * CLASSES))
 
-def _windows(ids: np.ndarray, at: np.ndarray, size: int, share: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and ids of windows that cover whole texts, each with the id before it; -1 where the text is over.
 
-    Of all windows, those with hashes in the lowest ``share`` are given.  What a
-    window holds decides, not its text, so long texts have their share as well.
-    """
+def _windows(ids: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and ids of windows that cover whole texts, each with the id before it; -1 where the text is over."""
     n = np.diff(at)
     count = -(-n // WINDOW)
     first = np.cumsum(count) - count
@@ -308,60 +314,84 @@ def _windows(ids: np.ndarray, at: np.ndarray, size: int, share: float = 1.0) ->
         found = ids[np.clip(at[t][:, None] + to, 0, len(ids) - 1)].astype(np.int32)
         found[to < 0] = size  # what begins a text is what ends one
         found[to >= n[t][:, None]] = -1
-        h = mix((found.astype(np.int64).view(np.uint64) * factor).sum(1, dtype=np.uint64))
-        taken = h >> np.uint64(1) < np.uint64(min(1.0, share) * ((1 << 63) - 1024))
-        if share >= 1:
-            taken[:] = True
-        yield h[taken], found[taken]
+        yield mix((found.astype(np.int64).view(np.uint64) * factor).sum(1, dtype=np.uint64)), found
 
 
 def _begin(seed: int = 5) -> dict[str, np.ndarray]:
+    """First weights: attention adds nothing to the logits yet."""
     rng = np.random.default_rng(seed)
-    return {"q": rng.normal(0, 0.3, (CLASSES, WIDTH)), "k": rng.normal(0, 0.3, (CLASSES, WIDTH)), "v": np.zeros((CLASSES, CLASSES)), "s": np.zeros((CLASSES, CLASSES)), "d": np.zeros(WINDOW)}
+    p = {name: rng.normal(0, 0.3, (CLASSES, WIDTH)) for name in ("q", "k", "l")}
+    return {**p, "b": np.zeros((CLASSES, WIDTH)), "r": np.zeros((WIDTH, CLASSES)), "d": np.zeros(WINDOW)}
+
+
+def _by_class(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each class."""
+    out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
+    count = np.bincount(classes, minlength=CLASSES)
+    some = np.flatnonzero(count)
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    out[some] = np.add.reduceat(rows[order], (np.cumsum(count) - count)[some], 0)
+    return out
+
 
+def _improve(p: dict[str, np.ndarray], base: np.ndarray, windows: np.ndarray, class_of: np.ndarray, steps: int = 0, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
+    """Weights after Adam over the windows: each of them once, or all of them as often as ``steps`` steps need.
 
-def _improve(p: dict[str, np.ndarray], windows: np.ndarray, class_of: np.ndarray, steps: int | None = None, rate: float = 0.02, seed: int = 5) -> dict[str, np.ndarray]:
-    """Weights after Adam over the windows: ``steps`` of them drawn at random, or each window once."""
-    value_type = np.float32
-    p = {name: value.astype(value_type) for name, value in p.items()}
+    The logits are ``base`` of the last class, and what its row of b and the mean of rows of l give by r.
+    """
+    kind = np.float32
+    p, base = {name: value.astype(kind) for name, value in p.items()}, base.astype(kind)
     if not len(windows):
         return p
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(windows)) if steps is None else rng.integers(0, len(windows), steps * STEP)
-    steps = -(-len(order) // STEP)
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(max(1, ceil(steps * STEP / len(windows))))])
+    steps = ceil(len(order) / STEP)
     near = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))
-    masked = near < 0
+    masked, back = near < 0, np.maximum(near, 0)
     first, second = ({x: np.zeros_like(y) for x, y in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         some = windows[order[(step - 1) * STEP : step * STEP]]
-        given = some[:, 1:] >= 0
-        x, y = class_of[some[:, :-1]], class_of[some[:, 1:]]
-        q, k, v = p["q"][x], p["k"][x], p["v"][x]
-        score = q @ k.transpose(0, 2, 1) + np.where(masked, value_type(-np.inf), p["d"][np.maximum(near, 0)])
-        a = np.exp(score - score.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        logits = a @ v + p["s"][x]
-        e = np.exp(logits - logits.max(-1, keepdims=True))
-        g = e / e.sum(-1, keepdims=True)
-        np.put_along_axis(g, y[..., None], np.take_along_axis(g, y[..., None], 2) - 1, 2)
-        g *= (given / value_type(given.sum()))[..., None]
-        da = g @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
-        hot = np.zeros((x.size, CLASSES), value_type)
-        hot[np.arange(x.size), x.ravel()] = 1
-        grads = {
-            name: hot.T @ value.reshape(x.size, -1) for name, value in (("v", a.transpose(0, 2, 1) @ g), ("s", g), ("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q))
-        }
-        grads["d"] = np.bincount(np.maximum(near, 0).ravel(), np.where(masked, 0, ds.sum(0)).ravel(), WINDOW)
+        classes = np.take(class_of, some)
+        x, y = classes[:, :-1], classes[:, 1:].ravel()
+        flat, n = x.ravel(), x.size
+        weight = (some[:, 1:] >= 0).ravel().astype(kind)
+        weight /= weight.sum()
+        q, k, v = (np.take(p[name], x, 0) for name in "qkl")
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(masked, kind(-np.inf), p["d"][back] + (40 - (p["q"] @ p["k"].T).max() - p["d"].max()))  # finite, as in _model
+        np.exp(a, out=a)
+        a /= (a @ np.ones(WINDOW, kind))[..., None]
+        mean = (a @ v).reshape(n, WIDTH)
+        h = mean + np.take(p["b"], flat, 0)
+        g = h @ p["r"]
+        g += np.take(base, flat, 0)
+        np.exp(g, out=g)
+        g *= (weight / (g @ np.ones(CLASSES, kind)))[:, None]
+        g[np.arange(n), y] -= weight
+        dh = g @ p["r"].T
+        each = dh.reshape(-1, WINDOW, WIDTH)
+        ds = each @ v.transpose(0, 2, 1)
+        ds -= (dh * mean).sum(1).reshape(-1, WINDOW, 1)
+        ds *= a
+        rows = [(ds @ k).reshape(n, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(n, WIDTH), (a.transpose(0, 2, 1) @ each).reshape(n, WIDTH), dh]
+        grads = dict(zip("qklb", np.split(_by_class(np.concatenate(rows, 1), flat), 4, 1), strict=True))
+        grads["r"] = (g.T @ h).T
+        grads["d"] = np.bincount(back.ravel(), np.where(masked, 0, ds.sum(0)).ravel(), WINDOW)
         speed = rate * min(1, 2 * (1 - step / (steps + 1)))
         for name in p:
             first[name] = 0.9 * first[name] + 0.1 * grads[name]
             second[name] = 0.99 * second[name] + 0.01 * grads[name] ** 2
-            p[name] -= (speed * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(value_type)
+            p[name] -= (speed * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(kind)
     return p
 
 
-def _model(counts: np.ndarray, common: np.ndarray, class_of: np.ndarray, follows: np.ndarray, p: dict[str, np.ndarray], starts: np.ndarray) -> AttentionModel:
+def _base(pairs: np.ndarray) -> np.ndarray:
+    """Log share of each class after each class."""
+    pairs = pairs.reshape(CLASSES, CLASSES) + 0.5
+    return np.log(pairs / pairs.sum(1, keepdims=True))
+
+
+def _model(counts: np.ndarray, common: np.ndarray, class_of: np.ndarray, follows: np.ndarray, p: dict[str, np.ndarray], base: np.ndarray, starts: np.ndarray) -> AttentionModel:
     counts = counts + 0.1
     share = np.log10(counts / np.bincount(class_of, counts, CLASSES)[class_of])
     follows = follows.reshape(CLASSES, len(common)).astype(np.float64)
@@ -369,13 +399,14 @@ def _model(counts: np.ndarray, common: np.ndarray, class_of: np.ndarray, follows
     np.add.at(total.T, class_of[common], follows.T)
     after = np.zeros((CLASSES, max(1, len(common))))
     after[:, : len(common)] = np.log10((follows + SHRINK * 10 ** share[common]) / (total[:, class_of[common]] + SHRINK))
-    p["s"][:, np.bincount(class_of, minlength=CLASSES) == 0] = -1e9  # a class without ids cannot follow
+    skip = base + p["b"] @ p["r"]
+    skip[:, np.bincount(class_of, minlength=CLASSES) == 0] = -1e9  # a class without ids cannot follow
     small = lambda z: z.astype(np.float32)
     near = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))
     # A constant added to all attention scores changes nothing; this one keeps their exponentials finite.
     level = 40 - (p["q"] @ p["k"].T).max() - p["d"].max()
     return AttentionModel(
-        class_of, share, _places(common, len(counts) - 1), small(after), small(p["q"]), small(p["k"]), small(p["v"]), small(p["s"]),
+        class_of, share, _places(common, len(counts) - 1), small(after), small(p["q"]), small(p["k"]), small(p["l"]), small(p["r"]), small(skip),
         small(np.where(near < 0, -1e9, p["d"][np.maximum(near, 0)] + level)), starts,
         small(np.stack([np.ones(CLASSES), np.maximum(np.bincount(class_of, 10**share * starts, CLASSES), 1e-30)], 1)),
     )
@@ -393,7 +424,9 @@ def train(ids: np.ndarray, at: np.ndarray, size: int, steps: int = 800, starts:
     place, n = _places(common, size), len(common)
     class_of = _classes(counts, common, _neighbours(ids, at, place, n), starts)
     windows = np.concatenate([np.empty((0, WINDOW + 1), np.int32), *(w for _, w in _windows(ids, at, size))])
-    return _model(counts, common, class_of, _follows(ids, at, class_of, place, n), _improve(_begin(), windows, class_of, steps), starts)
+    follows, pairs = np.split(_follows(ids, at, class_of, place, n), [CLASSES * n])
+    base = _base(pairs)
+    return _model(counts, common, class_of, follows, _improve(_begin(), base, windows, class_of, steps), base, starts)
 
 
 def _kind(size: int) -> np.dtype:
@@ -435,8 +468,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int, least: int = 1 << 21
         yield joined_ids()
 
 
-def _added(parts: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
-    """Sum of the rows of ``size`` numbers that tasks return, by a tree of tasks."""
+def _added(parts: DataFrame, size: int, kind: type = np.int64, n: int | None = None) -> np.ndarray:
+    """Sum of the rows of ``size`` numbers that ``n`` tasks return, by a tree of tasks.
+
+    Without ``n`` the plan is asked for it, which would run its shuffles once more.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, kind)
@@ -445,7 +481,7 @@ def _added(parts: DataFrame, size: int, kind: type = np.int64) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer(), kind)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    n = parts.rdd.getNumPartitions()
+    n = n or parts.rdd.getNumPartitions()
     while n > 4:
         n = ceil(n / FAN_IN)
         parts = parts.repartition(n).mapInArrow(released(add), "part binary")
@@ -469,30 +505,39 @@ def _counted(ids: DataFrame, size: int, n: int, count: Callable[[np.ndarray, np.
     return _added(ids.mapInArrow(released(run), "part binary"), n)
 
 
-def _window_table(ids: DataFrame, size: int, share: float) -> DataFrame:
-    """(h, w): the windows of all texts with hashes in the lowest ``share``, each once however often it occurs."""
+def _distinct(texts_of: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and ids of the windows of texts, each once and in order of hash, wherever the texts were held."""
+    found = [x for ids, at in texts_of for x in _windows(ids, at, size)]
+    if not found:
+        return np.empty(0, np.uint64), np.empty((0, WINDOW + 1), np.int32)
+    h, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+    return h, np.concatenate([w for _, w in found])[first]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for h, found in _windows(*_read(batch.column(0), size), size, share):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([x.tobytes() for x in found], pa.binary())], ["h", "w"])
 
-    return materialize(ids.mapInArrow(released(run), "h long, w binary").dropDuplicates(["h", "w"]), "windows")
+def _texts(ids: DataFrame, since: float, until: float, n: int) -> DataFrame:
+    """Each text once whose hash lies between two shares of all hashes, dealt by what it holds to ``n`` tasks."""
+    h = F.shiftrightunsigned(F.xxhash64("ids"), 11) / F.lit(float(1 << 53))
+    return ids.where((h >= F.lit(since)) & (h < F.lit(until))).repartition(n, "ids").dropDuplicates(["ids"])
+
 
+def _window_table(ids: DataFrame, size: int, share: float) -> DataFrame:
+    """(h, w): the windows of the texts with hashes in the lowest ``share``, each once however often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, found = _distinct(_gathered(batches, size), size)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([x.tobytes() for x in found], pa.binary())], ["h", "w"])
 
-def _unpacked(w: list[bytes]) -> np.ndarray:
-    """Windows in an order of their own, wherever they were held."""
-    return np.frombuffer(b"".join(sorted(w)), np.int32).reshape(-1, WINDOW + 1)
+    return _texts(ids, 0.0, share, 1).mapInArrow(released(run), "h long, w binary")
 
 
 def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None) -> AttentionModel:
     """Fit the model on a table of ids (one binary column) of whole training texts; ``starts`` marks ids that open words.
 
-    Counts of ids, neighbours and ids after classes are over all texts.  The
-    attention weights are fitted on a share of all windows, which grows with the
-    input: the driver begins with WARM windows, then every task improves the weights
-    on its windows of the share, and their mean is what the next round begins with.
+    Counts of ids, neighbours and ids after classes are over all texts, and the
+    attention weights are fitted on every window of every distinct text.  Few windows
+    are gathered by the driver.  Otherwise the texts are dealt into rounds by hash:
+    the tasks of a round improve the weights on their windows, each once, and the
+    mean of what they find is what the next round begins with.
     """
     starts = _only_end(size) if starts is None else starts
     counts = _counted(ids, size, size + 1, lambda x, at: np.bincount(x, minlength=size + 1))
@@ -500,29 +545,30 @@ def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None) -> Attentio
     place, n = _places(common, size), len(common)
     around = _counted(ids, size, n * 2 * min(NEAR, n), lambda x, at: _neighbours(x, at, place, n))
     class_of = _classes(counts, common, around, starts)
-    follows = _counted(ids, size, CLASSES * n, lambda x, at: _follows(x, at, class_of, place, n))
-    share = max(SHARE, min(1.0, WARM * WINDOW / max(1, int(counts.sum()))))
-    windows = _window_table(ids, size, share)
-    there = windows.count()
-    warm = windows.where(F.shiftrightunsigned("h", 1) < F.lit(int(share * WARM / there * (1 << 63)))) if there > WARM else windows
-    p = _improve(_begin(), _unpacked([bytes(r["w"]) for r in warm.select("w").collect()]), class_of, steps=800)
-    if there <= WARM:
-        return _model(counts, common, class_of, follows, p, starts)
+    follows, pairs = np.split(_counted(ids, size, CLASSES * (n + CLASSES), lambda x, at: _follows(x, at, class_of, place, n)), [CLASSES * n])
+    base, p = _base(pairs), _begin()
+    most = int(counts.sum()) // WINDOW + int(counts[size])  # windows, copies included
+    if most <= WARM:
+        windows = [np.frombuffer(r["w"], np.int32) for r in _window_table(ids, size, 1.0).select("w").collect()]
+        p = _improve(p, base, np.array(windows, np.int32).reshape(-1, WINDOW + 1), class_of, WARM // STEP)
+        return _model(counts, common, class_of, follows, p, base, starts)
     shapes = {name: value.shape for name, value in p.items()}
     cuts = np.cumsum([value.size for value in p.values()])
-    for turn in range(ROUNDS):
-        before, rate = p, 0.005 / (1 + turn)
+    borders = (0.0, SHARE, SHARE + SECOND * (1 - SHARE), 1.0)
+    for turn, rate in enumerate(RATES):
 
-        def run(batches: Iterator[pa.RecordBatch], before: dict = before, rate: float = rate, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            mine = _unpacked([x for batch in batches for x in batch.column(0).to_pylist()])
-            better = _improve(before, mine, class_of, rate=rate, seed=turn)
+        def run(batches: Iterator[pa.RecordBatch], before: dict = p, rate: float = rate, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            mine = _distinct(_gathered(batches, size), size)[1]
+            better = _improve(before, base, mine, class_of, rate=rate, seed=turn)
             flat = np.concatenate([*(value.ravel() for value in better.values()), [1.0]]) * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], ["part"])
 
-        parts = windows.repartition(ceil(there / DEALT), "h").select("w").mapInArrow(released(run), "part binary")
-        flat = _added(parts, int(cuts[-1]) + 1, np.float64)
-        p = {name: x.reshape(shapes[name]) for name, x in zip(shapes, np.split(flat[:-1] / flat[-1], cuts[:-1]), strict=True)}
-    return _model(counts, common, class_of, follows, p, starts)
+        since, until = borders[turn : turn + 2]
+        tasks = ceil((until - since) * most / DEALT)
+        flat = _added(_texts(ids, since, until, tasks).mapInArrow(released(run), "part binary"), int(cuts[-1]) + 1, np.float64, tasks)
+        if flat[-1]:  # a round may have no texts
+            p = {name: x.reshape(shapes[name]) for name, x in zip(shapes, np.split(flat[:-1] / flat[-1], cuts[:-1]), strict=True)}
+    return _model(counts, common, class_of, follows, p, base, starts)
 
 
 # -- counts and scores over tables ------------------------------------------

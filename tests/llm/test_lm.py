@@ -191,3 +191,21 @@ def test_copies_do_not_fill_the_windows(spark):
     texts = [[*range(i, i + 40), size] for i in range(20)] + [[7] * 50 + [size]] * 3000
     windows = [np.frombuffer(r["w"], np.int32).tolist() for r in lm._window_table(_ids(spark, texts, size), size, 1.0).collect()]
     assert len(windows) == 2 * 21 == len(set(map(tuple, windows)))
+
+
+def test_every_window_of_every_distinct_text_teaches_once(spark, monkeypatch):
+    """Of an input that the driver does not hold: the tasks of all rounds together see all windows."""
+    rng = np.random.default_rng(8)
+    size, seen, added = 500, [], lm._added
+    texts = [[*rng.integers(0, size, lm.WINDOW * int(rng.integers(1, 9)) - 1), size] for _ in range(300)]
+
+    def weighed(parts, n, kind=np.int64, *more):
+        total = added(parts, n, kind, *more)
+        if kind is np.float64:  # weights, and how many windows they are from
+            seen.append(total[-1])
+        return total
+
+    monkeypatch.setattr(lm, "WARM", 64)
+    monkeypatch.setattr(lm, "_added", weighed)
+    lm.fit(_ids(spark, texts + texts[:50], size), size)
+    assert sum(seen) == sum(len(x) // lm.WINDOW for x in texts)
