@@ -15,15 +15,16 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import NOT_SPACE, byte_class, hashes, joined, mix, released, shingle_hashes, texts, word_counts, words
+from ..tables import small
 from .storage import materialize, prepare
 
 BUCKETS = 1 << 17
-SAMPLE = 20_000  #: labelled documents of either kind that the models are fitted on and judged by
+BROADCAST_BYTES = 32 << 20  #: of Parquet, up to which the ids of trusted texts to fit on go to every worker
 FAN_IN = 32  #: partial counts that one task adds up
 LENGTH = 32  #: n-grams that the log weight of a longer text is scaled to
 
@@ -125,48 +126,46 @@ class RatioModel:
         return _segment_sums(self.ratio[grams], at) / np.maximum(np.diff(at), 1)
 
 
+FIT, TRUSTED, UNTRUSTED = 0, 1, 2  #: what a labelled id is for
+
+
 @dataclass(frozen=True)
-class LabelSample:
-    """Hashes of ids, sorted: trusted ones to fit on, trusted and untrusted ones to set the threshold by.
+class Labels:
+    """Every labelled id by its hash: trusted ones to fit on, trusted and untrusted ones to set the threshold by.
 
-    share is that of all labelled ids which are not untrusted; 1 without labels.
+    table has (_hash, _use), one row for each id, and _use is null where an id is
+    neither.  share is that of all labelled ids which are not untrusted; 1 without labels.
     """
 
-    fit: np.ndarray
-    trusted: np.ndarray
-    untrusted: np.ndarray
+    table: DataFrame
     share: float
 
+    def _of(self, use: int) -> np.ndarray:
+        """Sorted hashes of one use; to look into small tables, nothing here needs them at hand."""
+        return np.sort(np.array([r["_hash"] for r in self.table.where(F.col("_use") == use).collect()], np.int64))
+
+    fit = property(lambda self: self._of(FIT))
+    trusted = property(lambda self: self._of(TRUSTED))
+    untrusted = property(lambda self: self._of(UNTRUSTED))
+
 
 def id_hash(df: DataFrame, key: str) -> Column:
     """A number from an id: from its value if it is an integer of any width, else from it as text."""
     return F.xxhash64(F.col(key).cast("long" if isinstance(df.schema[key].dataType, T.IntegralType) else "string"))
 
 
-def label_sample(labels: DataFrame, key: str, trusted: Column, untrusted: Column, rows: int = SAMPLE) -> LabelSample:
-    """At most ``rows`` ids of either kind, those with the smallest hashes; null ids are left out.
+def label_kinds(labels: DataFrame, key: str, trusted: Column, untrusted: Column) -> Labels:
+    """What each labelled id is for; null ids are left out.
 
     Half of the trusted ids, by hash, is for fitting and the other half for the
-    threshold.  An id labelled both ways counts as untrusted.  The share is counted
-    over all labels.
+    threshold.  An id labelled both ways counts as untrusted.
     """
     ids = labels.where(F.col(key).isNotNull()).select(id_hash(labels, key).alias("_hash"), trusted.alias("_good"), untrusted.alias("_bad"))
     kinds = ids.groupBy("_hash").agg(F.max("_good").alias("_good"), F.max("_bad").alias("_bad"))
-
-    def take(kind: Column) -> np.ndarray:
-        return np.sort(np.array([r["_hash"] for r in kinds.where(kind).select("_hash").orderBy("_hash").limit(rows).collect()], np.int64))
-
-    bad = F.coalesce("_bad", F.lit(False))
-    good = take(F.col("_good") & ~bad)
-    n, n_bad = kinds.agg(F.count(F.lit(1)), F.count(F.when(bad, 1))).first()
-    return LabelSample(good[good % 2 == 0], good[good % 2 == 1], take(bad), 1 - n_bad / n if n else 1.0)
-
-
-def _within(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
-    if not len(some):
-        return np.zeros(len(ids), bool)
-    at = np.minimum(np.searchsorted(some, ids), len(some) - 1)
-    return some[at] == ids
+    good = F.when(F.pmod("_hash", F.lit(2)) == 0, FIT).otherwise(TRUSTED)
+    table = materialize(kinds.select("_hash", F.when(F.col("_bad"), UNTRUSTED).when(F.col("_good"), good).alias("_use")), "labels")
+    n, n_bad = table.agg(F.count(F.lit(1)), F.count(F.when(F.col("_use") == UNTRUSTED, 1))).first()
+    return Labels(table, 1 - n_bad / n if n else 1.0)
 
 
 def _hashes(column: pa.Array) -> np.ndarray:
@@ -176,19 +175,16 @@ def _hashes(column: pa.Array) -> np.ndarray:
 _COUNTS = "raw binary, trusted binary"
 
 
-def _count(fit: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            known = _within(_hashes(batch.column(0)), fit)
-            for first, part in texts(batch.column(1)):
-                grams, at = _grams(part)
-                raw += np.bincount(grams, minlength=BUCKETS)
-                for i in np.flatnonzero(known[first : first + len(part)]):
-                    np.add.at(trusted, grams[at[i] : at[i + 1]], 1)
-        yield _blobs(raw, trusted)
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        known = batch.column(0).to_numpy(zero_copy_only=False)
+        for first, part in texts(batch.column(1)):
+            grams, at = _grams(part)
+            raw += np.bincount(grams, minlength=BUCKETS)
+            for i in np.flatnonzero(known[first : first + len(part)]):
+                np.add.at(trusted, grams[at[i] : at[i + 1]], 1)
+    yield _blobs(raw, trusted)
 
 
 def _blobs(raw: np.ndarray, trusted: np.ndarray) -> pa.RecordBatch:
@@ -204,14 +200,18 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _blobs(*total)
 
 
-def fit(df: DataFrame, key: str, text: str, sample: LabelSample) -> RatioModel:
-    """Count the n-grams of every document, and of the trusted ones apart.
+def fit(df: DataFrame, key: str, text: str, labels: Labels) -> RatioModel:
+    """Count the n-grams of every document, and of all trusted ones that are for fitting apart.
 
     Each task returns one row of fixed size, and a tree of tasks adds them up, so
-    neither a shuffle nor the driver grows with the vocabulary.
+    neither a shuffle nor the driver grows with the vocabulary.  Ids beyond
+    BROADCAST_BYTES are joined by a shuffle, which moves the texts.
     """
     prepare(df.sparkSession)
-    parts = df.select(id_hash(df, key).alias("_hash"), text).mapInArrow(released(_count(sample.fit)), _COUNTS)
+    known = labels.table.where(F.col("_use") == FIT).select("_hash", F.lit(True).alias("_fit"))
+    ids = small(known, "fit", BROADCAST_BYTES)
+    marked = df.select(id_hash(df, key).alias("_hash"), F.col(text).alias("_text")).join(ids, "_hash", "left").select(F.coalesce("_fit", F.lit(False)).alias("_fit"), "_text")
+    parts = materialize(marked.mapInArrow(released(_count), _COUNTS), "grams")
     n = parts.rdd.getNumPartitions()
     while n > 4:
         n = ceil(n / FAN_IN)
@@ -223,29 +223,40 @@ def fit(df: DataFrame, key: str, text: str, sample: LabelSample) -> RatioModel:
     return RatioModel(np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)))
 
 
-def threshold(scored: DataFrame, key: str, score: str, sample: LabelSample) -> float:
-    """The score that best separates trusted from untrusted documents of the sample.
+def _below(scores: DataFrame) -> DataFrame:
+    """(_score, good, bad, good_below, bad_below): of each score, how many ids have it and how many have a lower one.
+
+    Summed over ranges of scores, so no task sorts all of them.
+    """
+    counted = scores.groupBy("_score").agg(F.count(F.when(F.col("_good"), 1)).alias("good"), F.count(F.when(~F.col("_good"), 1)).alias("bad"))
+    ranged = materialize(counted.repartitionByRange("_score").withColumn("_range", F.spark_partition_id()), "scores")
+    earlier = lambda name, window: F.coalesce(F.sum(name).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("_range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    before = ranges.select("_range", *(earlier(x, Window.orderBy("_range")).alias(f"_{x}") for x in ("good", "bad")))  # a row for each range
+    within = ranged.select("*", *(earlier(x, Window.partitionBy("_range").orderBy("_score")).alias(f"{x}_below") for x in ("good", "bad")))
+    return within.join(before, "_range").select("_score", "good", "bad", *((F.col(f"{x}_below") + F.col(f"_{x}")).alias(f"{x}_below") for x in ("good", "bad")))
+
+
+def threshold(scored: DataFrame, key: str, score: str, labels: Labels) -> float:
+    """The score that best separates trusted from untrusted documents, of all that are labelled and not fitted on.
 
     It makes the share of trusted documents below it plus the share of untrusted
     ones at or above it least; the lowest such score if several do.  Without
     untrusted documents it is the score that one trusted document in 200 misses;
-    without trusted ones nothing is rejected.
+    without trusted ones nothing is rejected.  Of rows with one id the lowest counts.
     """
-    spark = scored.sparkSession
-    kinds = [(int(i), True) for i in sample.trusted] + [(int(i), False) for i in sample.untrusted]
-    if not len(sample.trusted):
-        return float("-inf")
-    ids = F.broadcast(spark.createDataFrame(kinds, "_id long, _good boolean"))  # at most two samples of ids
-    rows = scored.where(F.col(key).isNotNull()).select(id_hash(scored, key).alias("_id"), score).join(ids, "_id").groupBy("_id", "_good").agg(F.min(score).alias("_score")).collect()
-    good = np.sort([r["_score"] for r in rows if r["_good"]])
-    bad = np.sort([r["_score"] for r in rows if not r["_good"]])
-    if not len(good):
+    ids = labels.table.where(F.col("_use") != FIT).select("_hash", (F.col("_use") == TRUSTED).alias("_good"))
+    found = scored.where(F.col(key).isNotNull()).select(id_hash(scored, key).alias("_hash"), F.col(score).alias("_score")).join(ids, "_hash")
+    below = materialize(_below(found.groupBy("_hash", "_good").agg(F.min("_score").alias("_score"))), "below")
+    good, bad = below.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    if not good:
         return float("-inf")
-    if not len(bad):
-        return float(np.quantile(good, 0.005))
-    cuts = np.unique(np.concatenate([good, bad]))
-    lost = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
-    return float(cuts[np.argmin(lost)])
+    if not bad:
+        place = 0.005 * (good - 1)
+        at = [below.where((F.col("good_below") <= i) & (F.col("good_below") + F.col("good") > i)).first()["_score"] for i in (int(place), ceil(place))]
+        return float(np.quantile(at, place % 1))
+    lost = F.col("good_below") * F.lit(bad) - F.col("bad_below") * F.lit(good)  # in whole numbers, so equal ones are equal
+    return float(below.orderBy(lost, "_score").first()["_score"])
 
 
 # -- the two operators ------------------------------------------------------
@@ -270,7 +281,7 @@ def score_rules(df: DataFrame, key: str, text: str, model: RatioModel) -> DataFr
     return df.select(key, text).mapInArrow(released(run), schema).withColumnRenamed("key", key)
 
 
-def quality_rules(df: DataFrame, key: str, text: str, sample: LabelSample, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(df: DataFrame, key: str, text: str, labels: Labels, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Judge every document: plain rules first, then the ratio against one threshold.
 
     Returns key, the counts of RULES, base_failed, kept, log_ratio.  A document
@@ -279,8 +290,8 @@ def quality_rules(df: DataFrame, key: str, text: str, sample: LabelSample, min_w
     texts fail.  Repeated rows are judged each, ties at the threshold are kept, an
     empty table gives no rows, and other columns are left out.
     """
-    scored = materialize(score_rules(df, key, text, fit(df, key, text, sample)), "rules")
-    least = threshold(scored, key, "log_ratio", sample)
+    scored = materialize(score_rules(df, key, text, fit(df, key, text, labels)), "rules")
+    least = threshold(scored, key, "log_ratio", labels)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("log_ratio") >= F.lit(least)))
 
@@ -349,7 +360,7 @@ def kth_largest(df: DataFrame, value: str, k: int, bins: int = 4096, few: int =
     return float(sorted((r["_v"] for r in rows.collect()), reverse=True)[k - 1])
 
 
-def resample(df: DataFrame, key: str, text: str, sample: LabelSample, share: float | None = None, temperature: float = 1.0, seed: int = 17, separate: bool = False) -> tuple[Resampler, DataFrame]:
+def resample(df: DataFrame, key: str, text: str, labels: Labels, share: float | None = None, temperature: float = 1.0, seed: int = 17, separate: bool = False) -> tuple[Resampler, DataFrame]:
     """Importance resampling without replacement, by Gumbel top-k.
 
     Returns what decides (for ``keep_drawn``) and a table (key, log_weight,
@@ -369,11 +380,11 @@ def resample(df: DataFrame, key: str, text: str, sample: LabelSample, share: flo
     empty table gives no rows; other columns are left out.
     """
     prepare(df.sparkSession)
-    model = fit(df, key, text, sample)
+    model = fit(df, key, text, labels)
     weighed = materialize(_weights(df, key, text, model, temperature, seed), "weights")
-    cut = threshold(weighed, key, "log_weight", sample) if separate else float("-inf")
+    cut = threshold(weighed, key, "log_weight", labels) if separate else float("-inf")
     n = weighed.where((F.col("log_weight") > F.lit(float("-inf"))) & (F.col("log_weight") >= F.lit(cut))).count()
-    share = 1.0 if separate else sample.share if share is None else share
+    share = 1.0 if separate else labels.share if share is None else share
     least = kth_largest(weighed, "gumbel_key", round(share * n))
     return Resampler(model, least, temperature, seed), weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(least))
 
@@ -400,6 +411,6 @@ def keep_drawn(df: DataFrame, key: str, text: str, sampler: Resampler) -> DataFr
     return df.withColumn(last, id_hash(df, key)).mapInArrow(released(run), T.StructType([T.StructField(f.name, f.dataType) for f in df.schema]))
 
 
-def trusted_labels(labels: DataFrame) -> LabelSample:
+def trusted_labels(labels: DataFrame) -> Labels:
     """Trusted: good and not toxic; untrusted: bad quality."""
-    return label_sample(labels, "doc_id", (F.col("quality") == 1) & (F.col("toxic") == 0), F.col("quality") == 0)
+    return label_kinds(labels, "doc_id", (F.col("quality") == 1) & (F.col("toxic") == 0), F.col("quality") == 0)

@@ -167,3 +167,21 @@ def test_empty_tables(spark, documents, clashing, empty):
     sampler, drawn = ratio.resample(clashing, "doc_id", "text", none)
     assert drawn.where(~F.col("kept")).where("log_weight > double('-Infinity')").count() == 0
     assert ratio.keep_drawn(clashing, "doc_id", "text", sampler).columns == clashing.columns
+
+
+def test_every_label_fits_or_sets_the_threshold(spark):
+    """More labels of either kind than 20,000: each is used, and the cut is the best of all of them."""
+    import numpy as np
+
+    n = 90_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.round(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10**6)) / 1e6 - (F.col("id") % 3 == 0).cast("int") * 0.4, 3).alias("score"))
+    known = ratio.trusted_labels(rows.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic")))
+    fitted, trusted, untrusted = known.fit, known.trusted, known.untrusted
+    assert len(fitted) + len(trusted) == 60_000 and len(untrusted) == 30_000 and not set(fitted) & set(trusted)
+    value = {r.h: r.score for r in rows.select(ratio.id_hash(rows, "doc_id").alias("h"), "score").collect()}
+    good, bad = (np.sort([value[h] for h in some.tolist()]) for some in (trusted, untrusted))
+    cuts = np.unique(np.concatenate([good, bad]))
+    lost = np.searchsorted(good, cuts) * len(bad) - np.searchsorted(bad, cuts) * len(good)
+    assert ratio.threshold(rows, "doc_id", "score", known) == cuts[np.argmin(lost)]
+    only = ratio.Labels(known.table.where(F.col("_use") != ratio.UNTRUSTED), 1.0)
+    assert abs(ratio.threshold(rows, "doc_id", "score", only) - np.quantile(good, 0.005)) < 1e-12
