@@ -20,9 +20,11 @@ beginning of a text, with at least ``OVERLAP`` ids before it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil
 
 import numpy as np
@@ -50,10 +52,12 @@ SECOND = 1 / 3  #: of the rest, those of the second round; the third takes all o
 RATES = (0.02, 0.01, 0.005)  #: of the rounds
 DEALT = 100_000  #: windows of a task in a round
 STEP = 64  #: windows of one step
+SLICE = 256  #: places whose logits are held at once, few enough for a core's own cache
 ATTENTION = 0.5  #: share of attention in the mixture with the corpus' word counts
-FREQUENT = 1 << 19  #: words whose counts every worker has
-CACHE = 500_000  #: words whose ids a worker remembers
-BATCH = 64  #: windows computed at once
+FREQUENT = 1 << 20  #: words whose counts every worker has
+SEEN = 1 << 17  #: texts that a task remembers, so as not to send copies of them
+BATCH = 64  #: windows whose attention is computed at once
+GROUPED = 2048  #: windows whose places are grouped by class at once
 _LOG10E = float(np.log10(np.e))
 _ODD_SPACE = re.compile(r"[^\S ]")
 
@@ -65,14 +69,29 @@ class Words:
         self.buf, bounds = joined(part, lower=True)
         self.starts, self.ends = words(self.buf, NOT_SPACE)
         self.first = word_counts(self.starts, bounds)
-        self.unique, self.some, self.inverse = np.unique(hashes(self.buf, self.starts, self.ends), return_index=True, return_inverse=True)
+        self.unique, self.some, self.inverse = _unique(hashes(self.buf, self.starts, self.ends))
+
+
+def _unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, where each is first, and the number of each hash among them.
+
+    Only what is distinct is sorted.
+    """
+    found = pa.array(h.view(np.int64)).dictionary_encode()
+    unique, number = found.dictionary.to_numpy().view(np.uint64), found.indices.to_numpy()
+    some = np.empty(len(unique), np.int64)
+    some[number[::-1]] = np.arange(len(h) - 1, -1, -1)
+    order = np.argsort(unique)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return unique[order], some[order], rank[number]
 
 
 # -- subwords ---------------------------------------------------------------
 
 
 class Subwords:
-    """Ids of words, remembered by the word's hash."""
+    """Ids of words; those of the words at hand are remembered by their places."""
 
     def __init__(self, ranks: str, pattern: str) -> None:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
@@ -81,12 +100,15 @@ class Subwords:
         self.end = self.size  # one id of our own
         self.starts = np.zeros(self.size + 1, bool)  # ids that only begin a word, and the end
         self.starts[[*(i for w, i in table.items() if w.startswith(b" ")), self.end]] = True
-        self._forget()
+        self.hold(np.empty(0, np.uint64))
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.at = np.zeros(1, np.int64)
-        self.flat = np.empty(0, np.int32)
+    def hold(self, at_hand: np.ndarray) -> None:
+        """Hashes of the words at hand from now on; what is known of them stays as long as they are the same."""
+        if getattr(self, "at_hand", None) is not at_hand:
+            self.at_hand = at_hand
+            self.number = np.full(len(at_hand), -1, np.int64)
+            self.at = np.zeros(1, np.int64)
+            self.flat = np.empty(0, np.int32)
 
     def _cut(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, each after a space, in a row; and how many each has.
@@ -103,25 +125,28 @@ class Subwords:
         each = [self.encoding.encode_ordinary(" " + x.decode()) for x in found]
         return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
 
-    def encode(self, part: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each closed by the end; and where each text begins (one more: the end)."""
-        if len(self.known) > CACHE:
-            self._forget()
-        buf, starts, ends, first = part.buf, part.starts, part.ends, part.first
-        unique, some, inverse = part.unique, part.some, part.inverse
-        known = self.known
-        numbers = np.array([known.get(x, -1) for x in unique.tolist()], np.int64)
-        if len(new := np.flatnonzero(numbers < 0)):
-            raw = buf.tobytes()
+    def encode(self, part: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each closed by the end; and where each text begins (one more: the end).
+
+        ``place`` has the place at hand of each distinct word, -1 for others, which are cut and forgotten.
+        """
+        starts, ends, first, some, inverse = part.starts, part.ends, part.first, part.some, part.inverse
+        numbers = np.where(place >= 0, self.number[place] if len(self.number) else -1, -1)
+        flat, offsets = self.flat, self.at
+        new = np.flatnonzero(numbers < 0)
+        new = new[np.argsort(place[new] < 0, kind="stable")]  # those to remember first
+        if len(new):
+            raw = part.buf.tobytes()
             found = [raw[x:y] for x, y in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)]
             ids, sizes = self._cut(found)
-            numbers[new] = len(self.at) - 1 + np.arange(len(new))
-            known.update(zip(unique[new].tolist(), numbers[new].tolist(), strict=True))
-            self.at = np.append(self.at, self.at[-1] + np.cumsum(sizes))
-            self.flat = np.append(self.flat, ids)
+            numbers[new] = len(offsets) - 1 + np.arange(len(new))
+            flat, offsets = np.append(flat, ids), np.append(offsets, offsets[-1] + np.cumsum(sizes))
+            kept = new[place[new] >= 0]
+            self.number[place[kept]] = numbers[kept]
+            self.at = offsets[: len(self.at) + len(kept)]
+            self.flat = flat[: self.at[-1]]
         n = len(first) - 1
-        flat = np.append(self.flat, np.int32(self.end))
-        offsets = np.append(self.at, self.at[-1] + 1)
+        flat, offsets = np.append(flat, np.int32(self.end)), np.append(offsets, offsets[-1] + 1)
         which = np.full(len(inverse) + n, len(offsets) - 2, np.int64)  # ends, where no word goes
         text_of = np.repeat(np.arange(n), np.diff(first))
         if len(inverse):
@@ -172,46 +197,73 @@ class AttentionModel:
         """What each class, attended to, adds to the logits."""
         return self.left @ self.right
 
-    def log10(self, seen: np.ndarray, following: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each following class but the first ``skip``, for windows of classes seen; also that a word opens."""
-        asking = seen[:, skip:]
-        score = np.take(self.query, asking, 0) @ np.take(self.key, seen, 0).transpose(0, 2, 1)
+    @cached_property
+    def odds(self) -> np.ndarray:
+        """For each class, a row per following class: what its exponential counts in both sums."""
+        out = (np.exp(self.skip.astype(np.float64))[:, :, None] * self.sums).astype(np.float32)
+        out[out < 1e-35] = 0  # too small to show, and slow
+        return out
+
+    def mean(self, seen: np.ndarray, skip: int = 0) -> np.ndarray:
+        """The mean of rows of left after each place of windows of classes seen, but the first ``skip``."""
+        score = np.take(self.query, seen[:, skip:], 0) @ np.take(self.key, seen, 0).transpose(0, 2, 1)
         score += self.near[skip:]
         np.exp(score, out=score)
         mean = score @ np.take(self.left, seen, 0)
-        mean /= (score @ np.ones(WINDOW, np.float32))[..., None]
-        out = mean.reshape(-1, WIDTH) @ self.right
-        out += np.take(self.skip, asking.ravel(), 0)
-        chosen = out[np.arange(len(out)), following[:, skip:].ravel()].reshape(asking.shape)
-        np.exp(out, out=out)
-        sums = np.log(out @ self.sums).reshape(*asking.shape, 2)
-        return (chosen - sums[..., 0]) * _LOG10E, (sums[..., 1] - sums[..., 0]) * _LOG10E
+        mean /= (score.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(*mean.shape[:2], 1)
+        return mean
+
+    def log10(self, mean: np.ndarray, asking: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each following class, after a class and a mean of rows of left; also that a word opens.
+
+        Those after the same class are taken together, so that its row of skip is a factor of the sums.
+        """
+        order = np.argsort(asking, kind="stable")
+        mean, asking, following = np.take(mean, order, 0), asking[order], following[order]
+        sums, held = np.empty((len(mean), 2), np.float32), np.empty((SLICE, CLASSES), np.float32)
+        highest = max(0.0, float(self.value.max()) - 80)  # exponentials stay finite
+        ends = np.cumsum(np.bincount(asking, minlength=CLASSES)).tolist()
+        begin = 0
+        for c, end in enumerate(ends):
+            for i in range(begin, end, SLICE):
+                j = min(end, i + SLICE)
+                part = np.matmul(mean[i:j], self.right, out=held[: j - i])
+                if highest:
+                    part -= highest
+                np.exp(part, out=part)
+                np.matmul(part, self.odds[c], out=sums[i:j])
+            begin = end
+        np.log(sums, out=sums)
+        chosen = np.einsum("ij,ij->i", mean, np.take(self.right.T, following, 0)) + self.skip[asking, following] - np.float32(highest)
+        out = np.empty((2, len(mean)))
+        out[:, order] = chosen - sums[:, 0], sums[:, 1] - sums[:, 0]
+        return out[0] * _LOG10E, out[1] * _LOG10E
 
     def each(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of every id of each text, and that a word opens at its place."""
-        stream = self.class_of[ids]
+        stream = np.zeros(len(ids) + WINDOW, np.uint8)
+        np.take(self.class_of.astype(np.uint8), ids, out=stream[: len(ids)])
         before = np.roll(stream, 1)
         before[at[:-1]] = 0
-        place = self.place[ids]
-        out = np.where(place >= 0, self.after[before, np.maximum(place, 0)], self.share[ids]).astype(np.float64)
+        place = np.take(self.place, ids)
+        out = np.where(place >= 0, self.after[before[: len(ids)], np.maximum(place, 0)], np.take(self.share, ids)).astype(np.float64)
         opens = np.empty(len(ids))
         n = np.diff(at)
         steps = np.arange(WINDOW)
+        windows = np.lib.stride_tricks.sliding_window_view(before, WINDOW)  # what is seen of the next text is masked
         # First windows score all their ids, later ones those beyond the overlap.
         later = np.maximum(0, -(-(n - WINDOW) // STRIDE))
         which = np.repeat(np.arange(len(n)), later)
         number = np.arange(len(which)) - np.repeat(np.cumsum(later) - later, later) + 1
         for text_of, begin, skip in ((np.arange(len(n)), np.zeros(len(n), np.int64), 0), (which, number * STRIDE, OVERLAP)):
-            for a in range(0, len(text_of), BATCH):
-                t, b = text_of[a : a + BATCH], begin[a : a + BATCH]
-                to = b[:, None] + steps  # the place of the following id in its text
-                inside = to < n[t][:, None]
-                follow = stream[np.minimum(at[t][:, None] + to, len(stream) - 1)]
-                seen = np.where(to > 0, stream[np.minimum(np.maximum(at[t][:, None] + to - 1, 0), len(stream) - 1)], 0)
-                found, opened = self.log10(seen, follow, skip)
-                where, given = (at[t][:, None] + to)[:, skip:], inside[:, skip:]
-                out[where[given]] += found[given]
-                opens[where[given]] = opened[given]
+            first, left = at[text_of] + begin, n[text_of] - begin
+            for a in range(0, len(first), GROUPED):
+                some = first[a : a + GROUPED]
+                mean = np.concatenate([self.mean(windows[some[b : b + BATCH]], skip) for b in range(0, len(some), BATCH)])
+                inside = steps[skip:] < left[a : a + GROUPED, None]
+                where = (some[:, None] + steps[skip:])[inside]
+                found, opens[where] = self.log10(mean[inside], before[where], stream[where])
+                out[where] += found
         return out, opens
 
     def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -330,7 +382,7 @@ def _by_class(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     count = np.bincount(classes, minlength=CLASSES)
     some = np.flatnonzero(count)
     order = np.argsort(classes.astype(np.uint8), kind="stable")
-    out[some] = np.add.reduceat(rows[order], (np.cumsum(count) - count)[some], 0)
+    out[some] = np.add.reduceat(np.take(rows, order, 0), (np.cumsum(count) - count)[some], 0)
     return out
 
 
@@ -338,17 +390,28 @@ def _improve(p: dict[str, np.ndarray], base: np.ndarray, windows: np.ndarray, cl
     """Weights after Adam over the windows: each of them once, or all of them as often as ``steps`` steps need.
 
     The logits are ``base`` of the last class, and what its row of b and the mean of rows of l give by r.
+    They are made, used and overwritten ``SLICE`` places at a time.
     """
     kind = np.float32
-    p, base = {name: value.astype(kind) for name, value in p.items()}, base.astype(kind)
+    shapes = {name: value.shape for name, value in p.items()}
+    cuts = np.cumsum([value.size for value in p.values()])[:-1]
+
+    def by_name(flat: np.ndarray) -> dict[str, np.ndarray]:
+        return {name: x.reshape(shape) for (name, shape), x in zip(shapes.items(), np.split(flat, cuts), strict=True)}
+
+    whole, base = np.concatenate([value.ravel() for value in p.values()]).astype(kind), base.astype(kind)
+    p = by_name(whole)
     if not len(windows):
         return p
+    slope, first, second = np.zeros((3, whole.size), kind)
+    grads = by_name(slope)
+    logits, more = np.empty((2, SLICE, CLASSES), kind)
+    line, ones = np.arange(SLICE) * CLASSES, np.ones(CLASSES, kind)
     rng = np.random.default_rng(seed)
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(max(1, ceil(steps * STEP / len(windows))))])
     steps = ceil(len(order) / STEP)
     near = np.subtract.outer(np.arange(WINDOW), np.arange(WINDOW))
     masked, back = near < 0, np.maximum(near, 0)
-    first, second = ({x: np.zeros_like(y) for x, y in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         some = windows[order[(step - 1) * STEP : step * STEP]]
         classes = np.take(class_of, some)
@@ -360,28 +423,40 @@ def _improve(p: dict[str, np.ndarray], base: np.ndarray, windows: np.ndarray, cl
         a = q @ k.transpose(0, 2, 1)
         a += np.where(masked, kind(-np.inf), p["d"][back] + (40 - (p["q"] @ p["k"].T).max() - p["d"].max()))  # finite, as in _model
         np.exp(a, out=a)
-        a /= (a @ np.ones(WINDOW, kind))[..., None]
-        mean = (a @ v).reshape(n, WIDTH)
+        total = (a.reshape(n, WINDOW) @ ones[:WINDOW])[:, None]
+        mean = (a @ v).reshape(n, WIDTH) / total
         h = mean + np.take(p["b"], flat, 0)
-        g = h @ p["r"]
-        g += np.take(base, flat, 0)
-        np.exp(g, out=g)
-        g *= (weight / (g @ np.ones(CLASSES, kind)))[:, None]
-        g[np.arange(n), y] -= weight
-        dh = g @ p["r"].T
-        each = dh.reshape(-1, WINDOW, WIDTH)
+        dh, left = np.empty_like(h), np.ascontiguousarray(p["r"].T)
+        slope.fill(0)
+        for i in range(0, n, SLICE):
+            at = slice(i, min(n, i + SLICE))
+            g, z = logits[: at.stop - i], more[: at.stop - i]
+            np.matmul(h[at], p["r"], out=g)
+            g += np.take(base, flat[at], 0, out=z, mode="clip")
+            np.exp(g, out=g)
+            sums = g @ ones
+            g.ravel()[line[: len(g)] + y[at]] -= sums
+            scale = (weight[at] / sums)[:, None]
+            dh[at] = (g @ left) * scale
+            grads["r"] += (g.T @ (h[at] * scale)).T
+        share = dh / total
+        each = share.reshape(-1, WINDOW, WIDTH)
         ds = each @ v.transpose(0, 2, 1)
-        ds -= (dh * mean).sum(1).reshape(-1, WINDOW, 1)
+        ds -= ((share * mean) @ ones[:WIDTH]).reshape(-1, WINDOW, 1)
         ds *= a
-        rows = [(ds @ k).reshape(n, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(n, WIDTH), (a.transpose(0, 2, 1) @ each).reshape(n, WIDTH), dh]
-        grads = dict(zip("qklb", np.split(_by_class(np.concatenate(rows, 1), flat), 4, 1), strict=True))
-        grads["r"] = (g.T @ h).T
-        grads["d"] = np.bincount(back.ravel(), np.where(masked, 0, ds.sum(0)).ravel(), WINDOW)
+        rows = np.empty((len(x), WINDOW, 4, WIDTH), kind)
+        np.matmul(ds, k, out=rows[:, :, 0])
+        np.matmul(ds.transpose(0, 2, 1), q, out=rows[:, :, 1])
+        np.matmul(a.transpose(0, 2, 1), each, out=rows[:, :, 2])
+        rows[:, :, 3] = dh.reshape(each.shape)
+        sums = _by_class(rows.reshape(n, -1), flat)
+        for name, begin in zip("qklb", range(0, 4 * WIDTH, WIDTH), strict=True):
+            grads[name][:] = sums[:, begin : begin + WIDTH]
+        grads["d"][:] = np.bincount(back.ravel(), np.where(masked, 0, ds.sum(0)).ravel(), WINDOW)
         speed = rate * min(1, 2 * (1 - step / (steps + 1)))
-        for name in p:
-            first[name] = 0.9 * first[name] + 0.1 * grads[name]
-            second[name] = 0.99 * second[name] + 0.01 * grads[name] ** 2
-            p[name] -= (speed * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(kind)
+        first += 0.1 * (slope - first)
+        second += 0.01 * (slope**2 - second)
+        whole -= speed / (1 - 0.9**step) * first / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return p
 
 
@@ -514,6 +589,19 @@ def _distinct(texts_of: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> t
     return h, np.concatenate([w for _, w in found])[first]
 
 
+def _teaches(ids: pa.Array, learned: pa.Array, seen: set[bytes]) -> pa.Array:
+    """Which of the texts are learned from and not among those seen, which are forgotten when they are many."""
+    out = []
+    for x, mine in zip(ids, learned.to_pylist(), strict=True):
+        h = hashlib.blake2b(x.as_buffer(), digest_size=16).digest() if mine else None
+        out.append(mine and h not in seen)
+        if out[-1]:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(h)
+    return pa.array(out, pa.bool_())
+
+
 def _texts(ids: DataFrame, since: float, until: float, n: int) -> DataFrame:
     """Each text once whose hash lies between two shares of all hashes, dealt by what it holds to ``n`` tasks."""
     h = F.shiftrightunsigned(F.xxhash64("ids"), 11) / F.lit(float(1 << 53))
@@ -530,9 +618,11 @@ def _window_table(ids: DataFrame, size: int, share: float) -> DataFrame:
     return _texts(ids, 0.0, share, 1).mapInArrow(released(run), "h long, w binary")
 
 
-def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None) -> AttentionModel:
+def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None, fewer: DataFrame | None = None) -> AttentionModel:
     """Fit the model on a table of ids (one binary column) of whole training texts; ``starts`` marks ids that open words.
 
+    ``fewer`` has each text at least once: where it is given, copies that it lacks need not meet before they are dropped.
+
     Counts of ids, neighbours and ids after classes are over all texts, and the
     attention weights are fitted on every window of every distinct text.  Few windows
     are gathered by the driver.  Otherwise the texts are dealt into rounds by hash:
@@ -540,6 +630,7 @@ def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None) -> Attentio
     mean of what they find is what the next round begins with.
     """
     starts = _only_end(size) if starts is None else starts
+    fewer = ids if fewer is None else fewer
     counts = _counted(ids, size, size + 1, lambda x, at: np.bincount(x, minlength=size + 1))
     common = _common(counts)
     place, n = _places(common, size), len(common)
@@ -549,7 +640,7 @@ def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None) -> Attentio
     base, p = _base(pairs), _begin()
     most = int(counts.sum()) // WINDOW + int(counts[size])  # windows, copies included
     if most <= WARM:
-        windows = [np.frombuffer(r["w"], np.int32) for r in _window_table(ids, size, 1.0).select("w").collect()]
+        windows = [np.frombuffer(r["w"], np.int32) for r in _window_table(fewer, size, 1.0).select("w").collect()]
         p = _improve(p, base, np.array(windows, np.int32).reshape(-1, WINDOW + 1), class_of, WARM // STEP)
         return _model(counts, common, class_of, follows, p, base, starts)
     shapes = {name: value.shape for name, value in p.items()}
@@ -565,7 +656,7 @@ def fit(ids: DataFrame, size: int, starts: np.ndarray | None = None) -> Attentio
 
         since, until = borders[turn : turn + 2]
         tasks = ceil((until - since) * most / DEALT)
-        flat = _added(_texts(ids, since, until, tasks).mapInArrow(released(run), "part binary"), int(cuts[-1]) + 1, np.float64, tasks)
+        flat = _added(_texts(fewer, since, until, tasks).mapInArrow(released(run), "part binary"), int(cuts[-1]) + 1, np.float64, tasks)
         if flat[-1]:  # a round may have no texts
             p = {name: x.reshape(shapes[name]) for name, x in zip(shapes, np.split(flat[:-1] / flat[-1], cuts[:-1]), strict=True)}
     return _model(counts, common, class_of, follows, p, base, starts)
@@ -651,13 +742,17 @@ class _Coder:
     pattern: str
     words: np.ndarray
 
-    def places(self, found: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    def find(self, found: Words) -> np.ndarray:
+        """Place of every distinct word at hand, -1 for others."""
+        if not len(self.words):
+            return np.full(len(found.unique), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.words, found.unique), len(self.words) - 1)
+        return np.where(self.words[at] == found.unique, at, -1)
+
+    def places(self, found: Words, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Place of every token at hand, -1 for others and -2 for ends; where each text's tokens begin; hashes of the others."""
         n = len(found.first) - 1
-        at = np.searchsorted(self.words, found.unique)
-        at = np.minimum(at, len(self.words) - 1) if len(self.words) else np.zeros(len(found.unique), np.int64)
-        known = self.words[at] == found.unique if len(self.words) else np.zeros(len(found.unique), bool)
-        place = np.where(known, at, -1)[found.inverse]
+        place = distinct[found.inverse]
         far = np.flatnonzero(place < 0)
         hashes_of = found.unique[found.inverse[far]]
         begins = found.first + np.arange(n + 1)
@@ -727,24 +822,30 @@ def score(df: DataFrame, key: str, text: str, learn: Column, ranks: str, pattern
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder_of.value
         coder = _subwords_of(own.ranks, own.pattern)
+        coder.hold(own.words)
+        seen: set[bytes] = set()
         for batch in batches:
             for first, part in texts(batch.column(2), 16 * BLOCK):
                 found = Words(part)
-                place, begins, far = own.places(found)
+                distinct = own.find(found)
+                place, begins, far = own.places(found, distinct)
+                ids = _stored(*coder.encode(found, distinct), size)
+                learned = batch.column(3).slice(first, len(part))
+                teaches = _teaches(ids, learned, seen)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i).slice(first, len(part)) for i in (0, 1, 3)),
-                        pa.array(np.diff(begins).astype(np.int64)), _stored(*coder.encode(found), size), _blobs(place, begins), _lists(far),
+                        *(batch.column(i).slice(first, len(part)) for i in (0, 1)), learned,
+                        pa.array(np.diff(begins).astype(np.int64)), ids, _blobs(place, begins), _lists(far), teaches,
                     ],
-                    ["row", "key", "learned", "n_tokens", "ids", "place", "far"],
+                    ["row", "key", "learned", "n_tokens", "ids", "place", "far", "teaches"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
     facts = f"row long, key {kind}, learned boolean, n_tokens long"
     encoded = materialize(
-        rows.select(F.monotonically_increasing_id().alias("row"), "_key", "_text", "_learn").mapInArrow(released(encode), f"{facts}, ids binary, place binary, far array<long>"), "encoded"
+        rows.select(F.monotonically_increasing_id().alias("row"), "_key", "_text", "_learn").mapInArrow(released(encode), f"{facts}, ids binary, place binary, far array<long>, teaches boolean"), "encoded"
     )
-    model = fit(encoded.where("learned").select("ids"), size, subwords.starts)
+    model = fit(encoded.where("learned").select("ids"), size, subwords.starts, encoded.where("teaches").select("ids"))
     mixture = spark.sparkContext.broadcast(_Mixture(model, counts.counts, counts.ends, counts.tokens, scale, attention))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -758,7 +859,7 @@ def score(df: DataFrame, key: str, text: str, learn: Column, ranks: str, pattern
                 )
 
     sums = "known long, base double, whole double, mixed double"
-    scored = materialize(encoded.mapInArrow(released(run), f"{facts}, {sums}, far array<long>, alone array<double>"), "scored")
+    scored = materialize(encoded.drop("teaches").mapInArrow(released(run), f"{facts}, {sums}, far array<long>, alone array<double>"), "scored")
     # Tokens that are not at hand get their counts by a join.
     rest = scored.select("row", F.explode(F.arrays_zip("far", "alone")).alias("_w")).select("row", F.col("_w.far").alias("h"), F.col("_w.alone").alias("_a"))
     found = rest.join(counts.table, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))

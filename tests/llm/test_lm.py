@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,77 @@ def test_every_window_of_every_distinct_text_teaches_once(spark, monkeypatch):
     monkeypatch.setattr(lm, "_added", weighed)
     lm.fit(_ids(spark, texts + texts[:50], size), size)
     assert sum(seen) == sum(len(x) // lm.WINDOW for x in texts)
+
+
+def test_copies_are_dropped_before_they_meet(spark, ranks, monkeypatch):
+    """Of one partition with many copies each distinct text is sent on once, also where a held-out copy comes first."""
+    sent, texts_of = [], lm._texts
+
+    def counted(ids, *more):
+        sent.append(sorted(len(r["ids"]) for r in ids.collect()))
+        return texts_of(ids, *more)
+
+    monkeypatch.setattr(lm, "_texts", counted)
+    rows = [(100, "one"), *((i, "one") for i in range(5)), *((i, "two words") for i in range(5, 50)), (50, None), (51, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = lm.score(df, "doc_id", "text", F.col("doc_id") < 100, ranks, public_tokenizers.PATTERN)
+    assert got.count() == len(rows) and len(sent) == 1 and len(sent[0]) == 3
+    monkeypatch.setattr(lm, "SEEN", 1)
+    assert lm._teaches(pa.array([b"a", b"a", b"b", b"a"]), pa.array([True, True, True, True]), set()).to_pylist() == [True, False, True, True]
+
+
+def test_weights_are_those_of_a_plain_gradient():
+    """One step on a few windows: its direction, Adam's first, against differences of the loss."""
+    rng = np.random.default_rng(3)
+    class_of = np.append(rng.integers(1, lm.CLASSES, 60), 0)
+    windows = rng.integers(0, 60, (20, lm.WINDOW + 1)).astype(np.int32)
+    windows[3, 20:] = windows[7, 9:] = -1
+    p = {name: rng.normal(0, 0.5, x.shape) for name, x in lm._begin().items()}
+    base = np.log(rng.dirichlet(np.ones(lm.CLASSES), lm.CLASSES) + 1e-6)
+
+    def loss(p):
+        x, y, inside = class_of[windows[:, :-1]], class_of[windows[:, 1:]], windows[:, 1:] >= 0
+        total = 0.0
+        for row, want, known in zip(x, y, inside, strict=True):
+            for i in np.flatnonzero(known):
+                a = np.exp(p["k"][row[: i + 1]] @ p["q"][row[i]] + p["d"][i::-1][: i + 1])
+                g = (a / a.sum() @ p["l"][row[: i + 1]] + p["b"][row[i]]) @ p["r"] + base[row[i]]
+                total += np.log(np.exp(g).sum()) - g[want[i]]
+        return total / inside.sum()
+
+    better = lm._improve(p, base, windows, class_of, rate=0.01)
+    for name in p:
+        # The first step of Adam is the rate, against the sign of the gradient.
+        moved = better[name].astype(np.float64) - p[name]
+        for at in [np.unravel_index(i, p[name].shape) for i in np.argsort(-np.abs(moved), axis=None)[:: max(1, moved.size // 4)][:4]]:
+            ahead, behind = ({**p, name: p[name].copy()} for _ in range(2))
+            ahead[name][at] += 1e-4
+            behind[name][at] -= 1e-4
+            slope = (loss(ahead) - loss(behind)) / 2e-4
+            assert abs(slope) < 1e-6 or abs(moved[at] + 0.01 * np.sign(slope)) < 2e-3
+
+
+def test_scores_do_not_depend_on_how_places_are_grouped(monkeypatch):
+    rng = np.random.default_rng(9)
+    size = 300
+    ids = rng.integers(0, size, 5000).astype(np.int32)
+    at = np.array([0, 1, 2000, 2024, 5000])
+    model = lm.train(ids, at, size, steps=20)
+    want = model.each(ids, at)
+    for name, value in (("GROUPED", 3), ("SLICE", 7)):
+        monkeypatch.setattr(lm, name, value)
+        assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(model.each(ids, at), want, strict=True))
+
+
+def test_ids_of_words_at_hand_are_remembered_and_others_forgotten(ranks):
+    coder = lm.Subwords(ranks, public_tokenizers.PATTERN)
+    parts = [lm.Words(x) for x in ([b"one two three", b"", b"two"], [b"three three unheard"], [b"one unheard of", b"two"])]
+    own = lm._Coder(ranks, public_tokenizers.PATTERN, np.sort(np.concatenate([x.unique for x in parts[:1]])[:2]))
+    for words in ("one two three||two", "three three unheard", "one unheard of|two"), ("two|one",):
+        for text in words:
+            part = lm.Words([x.encode() for x in text.split("|")])
+            coder.hold(own.words)
+            ids, at = coder.encode(part, own.find(part))
+            each = [[i for w in x.split() for i in coder.encoding.encode_ordinary(" " + w)] + [coder.end] for x in text.split("|")]
+            assert ids.tolist() == [i for x in each for i in x] and at.tolist() == np.cumsum([0, *map(len, each)]).tolist()
+            assert len(coder.at) - 1 == (coder.number >= 0).sum() <= 2
