@@ -301,11 +301,11 @@ def _neighbours(ids: np.ndarray, at: np.ndarray, place: np.ndarray, n: int) -> n
     number[at[1:] - 1] = -1  # the end, where two texts meet, is not frequent
     left, right = number[:-1], number[1:]
     known = (left >= 0) & (right >= 0)
-    width, total = 2 * near, np.zeros(n * 2 * near, np.int64)
+    width, found = 2 * near, []
     for some, row, column in ((known & (left < near), right, left), (known & (right < near), left, right + near)):
         some = np.flatnonzero(some)
-        total += np.bincount(row[some].astype(np.int64) * width + column[some], minlength=n * width)
-    return total
+        found.append(row[some].astype(np.int64) * width + column[some])
+    return np.bincount(np.concatenate(found), minlength=n * width)
 
 
 def _classes(counts: np.ndarray, common: np.ndarray, around: np.ndarray, starts: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -406,7 +406,7 @@ def _improve(p: dict[str, np.ndarray], base: np.ndarray, windows: np.ndarray, cl
     slope, first, second = np.zeros((3, whole.size), kind)
     grads = by_name(slope)
     logits, more = np.empty((2, SLICE, CLASSES), kind)
-    line, ones = np.arange(SLICE) * CLASSES, np.ones(CLASSES, kind)
+    line, ones = np.arange(SLICE) * CLASSES, np.ones(max(CLASSES, STEP), kind)
     rng = np.random.default_rng(seed)
     order = np.concatenate([rng.permutation(len(windows)) for _ in range(max(1, ceil(steps * STEP / len(windows))))])
     steps = ceil(len(order) / STEP)
@@ -434,7 +434,7 @@ def _improve(p: dict[str, np.ndarray], base: np.ndarray, windows: np.ndarray, cl
             np.matmul(h[at], p["r"], out=g)
             g += np.take(base, flat[at], 0, out=z, mode="clip")
             np.exp(g, out=g)
-            sums = g @ ones
+            sums = g @ ones[:CLASSES]
             g.ravel()[line[: len(g)] + y[at]] -= sums
             scale = (weight[at] / sums)[:, None]
             dh[at] = (g @ left) * scale
@@ -452,7 +452,7 @@ def _improve(p: dict[str, np.ndarray], base: np.ndarray, windows: np.ndarray, cl
         sums = _by_class(rows.reshape(n, -1), flat)
         for name, begin in zip("qklb", range(0, 4 * WIDTH, WIDTH), strict=True):
             grads[name][:] = sums[:, begin : begin + WIDTH]
-        grads["d"][:] = np.bincount(back.ravel(), np.where(masked, 0, ds.sum(0)).ravel(), WINDOW)
+        grads["d"][:] = np.bincount(back.ravel(), np.where(masked, 0, (ones[: len(x)] @ ds.reshape(len(x), -1)).reshape(masked.shape)).ravel(), WINDOW)
         speed = rate * min(1, 2 * (1 - step / (steps + 1)))
         first += 0.1 * (slope - first)
         second += 0.01 * (slope**2 - second)
