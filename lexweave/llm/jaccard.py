@@ -370,7 +370,7 @@ def links(df: DataFrame, key: str, text: str, k: int, percent: int) -> tuple[Dat
     across = left.join(right, "token").where((F.col("rx") != F.col("ry")) & (F.col("_main") | (F.col("x") < F.col("y"))) & sized)
     # A pair can meet in both orders, under different main roots.
     ordered = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.least("lx", "ly").alias("_l"))
-    enough = materialize(ordered.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_s"), F.first("_l").alias("_l")).where(F.col("_s") >= F.col("_l")).select("x", "y"), "candidates")
+    enough = materialize(ordered.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_s"), F.first("_l").alias("_l")).where(F.col("_s") >= F.col("_l")).select("x", "y"), "enough")
     rest = _fetch_sets(df, text, k, enough.select(F.col("x").alias("c")).union(enough.select(F.col("y").alias("c"))).distinct())
     met = (
         enough.join(rest.select(F.col("c").alias("x"), F.col("shingles").alias("sx")), "x")
